@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup
+from graphloom.llm import exact_dedup, mixing
 
-MODULES = [exact_dedup]
+MODULES = [exact_dedup, mixing]
 
 
 def queries() -> dict:
