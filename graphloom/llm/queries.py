@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup, mixing
+from graphloom.llm import exact_dedup, mixing, pii, toxicity
 
-MODULES = [exact_dedup, mixing]
+MODULES = [exact_dedup, mixing, pii, toxicity]
 
 
 def queries() -> dict:
