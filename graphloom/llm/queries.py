@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup, mixing, pii, toxicity
+from graphloom.llm import exact_dedup, language, mixing, pii, token_counts, toxicity
 
-MODULES = [exact_dedup, mixing, pii, toxicity]
+MODULES = [exact_dedup, language, mixing, pii, token_counts, toxicity]
 
 
 def queries() -> dict:
