@@ -93,6 +93,10 @@ class Vocabulary:
         self.joined = dict(zip(keys, values))  # any two tokens whose bytes together are a token
         self.join = Table(np.array(keys, np.uint64) + np.uint64(1), np.array(values, np.int32))
 
+    @functools.cached_property
+    def halves(self) -> tuple[list[int], list[int]]:
+        return self.left.tolist(), self.right.tolist()
+
     @functools.cached_property
     def trie(self) -> tuple[Table, np.ndarray]:
         """(node and byte to node, token of a node or -1); the root is 0."""
