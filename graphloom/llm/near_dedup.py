@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,8 +87,8 @@ def order_min_hashes(to: np.ndarray, kmers: np.ndarray, sketches: int, size: int
     return out
 
 
-def sketches_of(texts: pa.Array, k: int, size: int, sketches: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, keys): each text's sketch keys; texts of fewer than SHORT words also have those of single words."""
+def sketches_of(texts: pa.Array, k: int, size: int, sketches: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, offsets, keys): each text's number of words and sketch keys; texts of fewer than SHORT words also have those of single words."""
     at, h = token_arrays(texts)
     full = order_min_hashes(*labelled_kmers(at, h, k), sketches, size, seed)
     lengths = np.diff(at)
@@ -101,7 +102,7 @@ def sketches_of(texts: pa.Array, k: int, size: int, sketches: int, seed: int) ->
             lists[i] = np.concatenate([lists[i], row])
     for i in np.flatnonzero(lengths == 0):
         lists[i] = lists[i][:0]
-    return np.concatenate([[0], np.cumsum([len(x) for x in lists])]), np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+    return lengths, np.concatenate([[0], np.cumsum([len(x) for x in lists])]), np.concatenate(lists) if lists else np.zeros(0, np.uint64)
 
 
 def similarity(a: list, b: list, threshold: float) -> float | None:
@@ -143,32 +144,57 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return found.groupBy("doc_a", "doc_b").agg(F.max("similarity").alias("similarity"))
 
 
+def size_class(words, threshold: float) -> F.Column:
+    """Length classes: two texts as similar as the threshold are in the same class or in adjacent ones."""
+    return F.floor(F.log(words.cast("double")) / F.lit(-math.log(threshold))).cast("int")
+
+
 def linked(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs that connect all similar documents which share a bucket. members: (key, id).
+    """Verified pairs that connect all similar documents which share a bucket. members: (key, class, id).
 
-    First every member of a bucket is compared with its least. Where members of one bucket are still unconnected, the
-    least members of its connected parts are compared with each other, round by round, until every two parts that
-    share a bucket have been. A bucket of thousands of copies so costs thousands of comparisons, not millions.
+    First every member is compared with the least member of its bucket and length class. Where members of one bucket
+    are still unconnected, the least members of its connected parts are compared, if their length classes are the same
+    or adjacent, round by round, until every two such parts that share a bucket have been. A bucket of thousands of
+    copies so costs thousands of comparisons, not millions.
     """
-    least = members.groupBy("key").agg(F.min("id").alias("doc_a"))
-    pairs = stored(members.join(least, "key").where("id > doc_a").select("doc_a", F.col("id").alias("doc_b")).distinct(), "pairs")
+    least = members.groupBy("key", "class").agg(F.min("id").alias("doc_a"))
+    pairs = stored(members.join(least, ["key", "class"]).where("id > doc_a").select("doc_a", F.col("id").alias("doc_b")).distinct(), "pairs")
     tried, found = pairs, None
     while True:
         new = stored(verified(pairs, texts, threshold), "edges")
         found = new if found is None else found.union(new)
         roots = components(found)
-        part = members.join(roots, members.id == roots.node, "left").groupBy("key", F.coalesce("root", "id").alias("root")).agg(F.min("id").alias("id"))
+        part = members.join(roots, members.id == roots.node, "left").groupBy("key", "class", F.coalesce("root", "id").alias("root")).agg(F.min("id").alias("id"))
         part = stored(part, "parts")
-        several = part.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        part_of = part.join(several, "key")
-        one, two = part_of.select("key", F.col("id").alias("doc_a")), part_of.select("key", F.col("id").alias("doc_b"))
-        pairs = stored(one.join(two, "key").where("doc_a < doc_b").select("doc_a", "doc_b").distinct().join(tried, ["doc_a", "doc_b"], "left_anti"), "pairs")
+        several = part.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        part_of = stored(part.join(several, "key"), "parts")
         drop_stored(part)
+        one = part_of.select("key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("class_a"), F.col("id").alias("a"), F.col("root").alias("root_a"))
+        two = part_of.select("key", "class", F.col("id").alias("b"), F.col("root").alias("root_b"))
+        # Of the same class each two once, of adjacent ones the shorter class's from the left.
+        near = one.join(two, ["key", "class"]).where("root_a <> root_b and (class_a < class or a < b)")
+        near = near.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
+        pairs = stored(near.join(tried, ["doc_a", "doc_b"], "left_anti"), "pairs")
+        drop_stored(part_of)
         if pairs.isEmpty():
             return found
         tried = tried.union(pairs)
 
 
+def linked_by_keys(docs: DataFrame, sketched: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_a, doc_b, similarity) from each document's (id, digest, words, keys): copies paired with the least of
+    them, the others by linked()."""
+    sketched = stored(sketched.where(F.size("keys") > 0), "sketches")
+    firsts = stored(sketched.groupBy("digest").agg(F.min("id").alias("first"), F.first("words").alias("words"), F.first("keys").alias("keys")), "firsts")
+    copies = sketched.select("id", "digest").join(firsts.select("digest", "first"), "digest").where("id > first").select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("similarity")).distinct()
+    buckets = firsts.select(F.explode("keys").alias("key"), size_class(F.col("words"), threshold).alias("class"), F.col("first").alias("id"))
+    shared = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    members = stored(buckets.join(shared, "key").distinct(), "members")
+    texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
+    texts = stored(texts.join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    return linked(members, texts, threshold).union(copies)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 3, size: int = 3, sketches: int = 32, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_a, doc_b, similarity): pairs of near duplicates, doc_a < doc_b, that connect each group of them.
 
@@ -183,21 +209,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 3, size:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            at, keys = sketches_of(batch.column(2), k, size, sketches, seed)
+            words, at, keys = sketches_of(batch.column(2), k, size, sketches, seed)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words), lists], names=["id", "digest", "words", "keys"])
 
-    rows = docs.where(col(id_col).isNotNull() & col(text_col).isNotNull()).select(col(id_col).cast("long").alias("id"), F.substring(digest_of(col(text_col)), 1, 16).alias("digest"), col(text_col).cast("string").alias("text"))
-    sketched = stored(rows.mapInArrow(run, "id long, digest binary, keys array<long>").where(F.size("keys") > 0), "sketches")
-    firsts = sketched.groupBy("digest").agg(F.min("id").alias("first"), F.first("keys").alias("keys"))
-    firsts = stored(firsts, "firsts")
-    copies = sketched.select("id", "digest").join(firsts.select("digest", "first"), "digest").where("id > first").select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("similarity")).distinct()
-    buckets = firsts.select(F.explode("keys").alias("key"), F.col("first").alias("id"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = stored(buckets.join(shared, "key").distinct(), "members")
-    wanted = members.select("id").distinct()
-    texts = stored(rows.select("id", "text").join(wanted, "id", "left_semi"), "texts")
-    return linked(members, texts, threshold).union(copies)
+    rows = comparable(docs, id_col, text_col)
+    return linked_by_keys(docs, rows.mapInArrow(run, "id long, digest binary, words long, keys array<long>"), threshold, id_col, text_col)
+
+
+def comparable(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, text) of the rows that have both."""
+    rows = docs.where(col(id_col).isNotNull() & col(text_col).isNotNull())
+    return rows.select(col(id_col).cast("long").alias("id"), F.substring(digest_of(col(text_col)), 1, 16).alias("digest"), col(text_col).cast("string").alias("text"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
