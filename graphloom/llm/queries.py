@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, exact_dedup, fingerprints, language, mixing, near_dedup, pii, token_counts, toxicity
+from graphloom.llm import bpe, exact_dedup, fingerprints, language, mixing, near_dedup, pii, repeats, token_counts, toxicity
 
-MODULES = [bpe, exact_dedup, fingerprints, language, mixing, near_dedup, pii, token_counts, toxicity]
+MODULES = [bpe, exact_dedup, fingerprints, language, mixing, near_dedup, pii, repeats, token_counts, toxicity]
 
 
 def queries() -> dict:
