@@ -99,9 +99,10 @@ class Graph:
 
         Labels and types are looked up with one distinct each; properties that a label never has are left out.
         """
+
         def split(df: DataFrame, key: str, fixed: tuple) -> dict[str, DataFrame]:
             props = [c for c in df.columns if c not in (*fixed, key)]
-            seen = df.groupBy(key).agg(*[F.count(named(p)).alias(f"n{i}") for i, p in enumerate(props)]).collect()
+            seen = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.count(named(p)).alias(f"n{i}") for i, p in enumerate(props)]).collect()
             out = {}
             for row in sorted(seen, key=lambda r: str(r[key])):
                 keep = [p for i, p in enumerate(props) if row[f"n{i}"]]

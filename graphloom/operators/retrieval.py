@@ -167,6 +167,10 @@ def postings(docs: DataFrame, text: str = "text") -> DataFrame:
     return each.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
+def _times(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda t: t == F.lit(term)))
+
+
 def bm25(docs: DataFrame, query: str, k: int = 1000, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of the k best documents that have one of the query's terms; ties to the lesser id.
 
@@ -176,7 +180,7 @@ def bm25(docs: DataFrame, query: str, k: int = 1000, text: str = "text", k1: flo
     if not wanted:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
     words = docs.where(named(text).isNotNull()).select("id", terms(named(text)).alias("w"))
-    tf = words.select("id", F.size("w").alias("length"), *[F.size(F.filter("w", lambda t, q=q: t == q)).alias(f"t{i}") for i, q in enumerate(wanted)])
+    tf = words.select("id", F.size("w").alias("length"), *[_times("w", q).alias(f"t{i}") for i, q in enumerate(wanted)])
     stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(wanted))])
     joined = tf.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
