@@ -82,7 +82,7 @@ class Compiler:
 
     def needs(self) -> Needs:
         needs = Needs()
-        aliases = {a for _, a in self.q.find if a}
+        aliases = {a or title(e) for e, a in self.q.find if not isinstance(e, Star)}
 
         def want(var: str, prop: str | None) -> None:
             if needs.props.get(var, ()) is not None:
@@ -492,7 +492,7 @@ class Compiler:
     def grouped(self) -> DataFrame:
         """Keys are what GROUP BY names and the output's other columns without aggregates; algorithms are averaged."""
         q = self.q
-        aliases = {a: e for e, a in q.find if a}
+        aliases = {a or title(e): e for e, a in q.find if not isinstance(e, Star)}
         group = [aliases.get(e.var, e) if isinstance(e, Prop) and not e.names and e.var not in self.nodes | self.rels else e for e in q.group]
         items = self.items()
         numeric = ALGORITHMS | {"embedding_similarity", "shortestpath"}
