@@ -71,12 +71,23 @@ def value(e, look: Lookup) -> Typed:
     return {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[e.op](a, b), T.LongType() if whole else T.DoubleType()
 
 
-def compared(op: str, a: Column, s: T.DataType, b: Column, t: T.DataType) -> Column:
-    """A missing value makes it false; so does the literal null. Numbers compare as numbers."""
+def condition(e, look: Lookup) -> Column:
+    """What a filter keeps. Outside of NOT an unknown comparison counts as false by itself, and a comparison that stands
+    as it is can be pushed into the scan."""
+    if isinstance(e, Bin) and e.op in ("and", "or"):
+        a, b = condition(e.left, look), condition(e.right, look)
+        return a & b if e.op == "and" else a | b
+    if isinstance(e, Bin) and e.op in COMPARE:
+        return compared(e.op, *value(e.left, look), *value(e.right, look), bare=True)
+    return truth(*value(e, look))
+
+
+def compared(op: str, a: Column, s: T.DataType, b: Column, t: T.DataType, bare: bool = False) -> Column:
+    """A missing value makes it false (null, if bare); so does the literal null. Numbers compare as numbers."""
     kinds = {family(s), family(t)}
     times = {"timestamp", "date", "timestamp_ntz"}
     if len(kinds) == 1 or (kinds <= times) or (kinds & times and "string" in kinds):
-        return F.coalesce(COMPARE[op](a, b), F.lit(False))
+        return COMPARE[op](a, b) if bare else F.coalesce(COMPARE[op](a, b), F.lit(False))
     if op == "!=" and "void" not in kinds:
         return a.isNotNull() & b.isNotNull()
     return F.lit(False)

@@ -146,7 +146,7 @@ class Graph:
 
     def subgraph(self, ids: DataFrame) -> Graph:
         """The nodes whose id is in ``ids`` and the edges that have both ends there."""
-        ids = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+        ids = ids.select(named(ids.columns[0]).alias("id")).distinct()
         inside = {k: replace(n, frame=n.frame.join(ids, "id", "left_semi")) for k, n in self.nodes.items()}
         ends = {}
         for k, e in self.edges.items():

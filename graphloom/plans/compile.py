@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.expressions import Typed, failing, literal, required, strict, truth, value
+from graphloom.functions.expressions import Typed, condition, failing, literal, required, strict, truth, value
 from graphloom.model import Graph, named
 from graphloom.operators import algorithms, ontology, retrieval
 from graphloom.plans.matching import EDGES, NODES, Needs, joined, match
@@ -405,7 +405,7 @@ class Compiler:
                     self.attach_tests(*group)
                     self.attach_algorithms(*group)
                     for c in group:
-                        cond = truth(*value(c, self.look))
+                        cond = condition(c, self.look)
                         self.df = self.df.where(cond)
         rest = [e for e, _ in q.find if not isinstance(e, Star)] + [e for e, _ in q.order] + [q.having] + q.group
         self.attach_tests(*rest)
@@ -526,7 +526,7 @@ class Compiler:
             return value(e, look)
 
         if q.having is not None:
-            out = out.where(truth(*of(q.having)))
+            out = out.where(condition(q.having, look) if look(q.having) is None else truth(*of(q.having)))
         extra, order = [], []
         for e, down in q.order:
             same = next((n for x, n in items if x == e or (isinstance(e, Prop) and not e.names and e.var == n)), None)

@@ -41,7 +41,7 @@ def holds(df: DataFrame, props: tuple) -> DataFrame:
     for key, v in props:
         if key not in df.columns:
             return df.where(F.lit(False))
-        df = df.where(compared("=", named(key), df.schema[key].dataType, *literal(v)))
+        df = df.where(compared("=", named(key), df.schema[key].dataType, *literal(v), bare=True))
     return df
 
 
