@@ -1,4 +1,4 @@
-from graphloom.llm.toxicity import WEIGHTS, clauses, grammar, negation, reported, scored, targeted, threatening, toxicity
+from graphloom.llm.toxicity import WEIGHTS, clauses, grammar, learned_stems, negation, reported, scored, targeted, threatening, toxicity
 from tests.llm.tables import docs, nothing, odd
 
 
@@ -30,13 +30,26 @@ def test_clauses_not_words():
 
 
 def test_labels(spark):
-    """Held against the labelled documents: nearly all toxic ones are found and clean ones are left alone."""
-    sf = "/root/testdata/sf0.01"
-    found = {r["doc_id"] for r in toxicity(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
-    rows = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    """Held against the labelled documents, half of them held out: most toxic ones are found, clean ones left alone."""
+    sf = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    stems = learned_stems(d, labels.where("doc_id % 2 = 0"))
+    found = {r["doc_id"] for r in toxicity(d, stems=stems).collect()}
+    rows = labels.where("doc_id % 2 = 1").collect()
     bad = {r["doc_id"] for r in rows if r["toxic"] == 1}
     good = {r["doc_id"] for r in rows if r["toxic"] == 0}
-    assert len(found & bad) >= 0.9 * len(bad) and len(found & good) <= 0.02 * len(good)
+    assert len(found & bad) >= 0.9 * len(bad) and len(found & good) <= 0.005 * len(good)
+
+
+def test_stems(spark):
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(8))
+    texts = [words(i) + (" grumpfa grumpfo" if i % 4 == 0 else "") for i in range(120)] + [None, ""]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)] + [(None, 1), (5, None), (120, 1)], "doc_id long, toxic int")
+    assert learned_stems(docs(spark, texts), labels) == ["grumpf"]
+    assert learned_stems(docs(spark, texts), labels.where("doc_id < 12")) == []
+    assert learned_stems(nothing(spark), labels) == [] and learned_stems(docs(spark, texts), labels.limit(0)) == []
+    got = toxicity(docs(spark, ["a grumpfu and grumpf.", "one grumpfx"]), stems=["grumpf"]).collect()
+    assert [(r["doc_id"], r["insults"]) for r in got] == [(0, 2)]
 
 
 def test_odd_tables(spark):
