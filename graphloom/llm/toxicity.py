@@ -217,9 +217,10 @@ def learned_stems(docs: DataFrame, labels: DataFrame, most: int = 4000, ratio: f
 
 
 def toxicity(docs: DataFrame, threshold: float = 1.0, density: float = 0.004, stems: list[str] | tuple = (), weights: dict = WEIGHTS, all_documents: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, insults, threats, toxic) of the documents whose matched clauses' weights sum to the threshold, and to
-    ``density`` a word, so that a long text isn't toxic for what chance puts into it. Words that begin with one of
-    ``stems`` are insults too.
+    """(id, score, insults, threats, toxic) of the documents whose matched clauses' weights sum to the threshold.
+
+    Words that begin with one of ``stems`` are insults too. Where clauses with words of the lexicon don't suffice, the
+    weights must also sum to ``density`` a word, so that a long text isn't toxic for what chance puts into it.
 
     A clause ends at a word with an end mark. An insult alone weighs little, with a target or a form of "be" more;
     negated it weighs nothing, in reported speech little; a verb of harm weighs only before a target. With
@@ -237,9 +238,10 @@ def toxicity(docs: DataFrame, threshold: float = 1.0, density: float = 0.004, st
             at, ids, words = words_of(batch.column(1))
             lower = pc.utf8_lower(pc.utf8_trim(words, AROUND))
             place = pc.fill_null(pc.index_in(lower, names), len(names)).to_numpy(zero_copy_only=False)
-            class_of = codes[place]
+            class_of, guessed = codes[place], np.zeros(len(words), bool)
             if begins:
-                class_of = np.where(pc.match_substring_regex(lower, begins).to_numpy(zero_copy_only=False) & (place == len(names)), ord("i"), class_of).astype(np.uint8)
+                guessed = pc.match_substring_regex(lower, begins).to_numpy(zero_copy_only=False) & (place == len(names))
+                class_of = np.where(guessed, ord("i"), class_of).astype(np.uint8)
             bare = pc.utf8_rtrim(words, "\"'`)]}»”’")
             ends = np.zeros(len(words), bool)
             for e in ENDS:
@@ -249,8 +251,10 @@ def toxicity(docs: DataFrame, threshold: float = 1.0, density: float = 0.004, st
             n = len(at) - 1
             score, insults, threats = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
             hits = np.flatnonzero((kinds == ord("i")) | (kinds == ord("v")))
+            sure = np.zeros(n)
             edge = np.unique(np.concatenate([at, np.flatnonzero(stops) + 1]))
-            for k in np.unique(np.searchsorted(edge, hits, "right")) if len(hits) else ():
+            known_words = set(np.searchsorted(edge, hits[~guessed[ids[hits]]], "right").tolist())
+            for k in np.unique(np.searchsorted(edge, hits, "right")).tolist() if len(hits) else ():
                 a, b = edge[k - 1], edge[k]
                 read = kinds[a:b].tobytes()
                 if len(read) > 200 or (found := known.get(read)) is None:
@@ -259,9 +263,10 @@ def toxicity(docs: DataFrame, threshold: float = 1.0, density: float = 0.004, st
                         known[read] = found
                 doc = np.searchsorted(at, a, "right") - 1
                 score[doc] += found[0]
+                sure[doc] += found[0] * (k in known_words)
                 insults[doc] += found[1]
                 threats[doc] += found[2]
-            toxic = (score >= threshold - 1e-9) & (score >= density * np.diff(at))
+            toxic = (score >= threshold - 1e-9) & ((sure >= threshold - 1e-9) | (score >= density * np.diff(at)))
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(score.round(6)), pa.array(insults), pa.array(threats), pa.array(toxic)], names=["id", "score", "insults", "threats", "toxic"])
             yield out if all_documents else out.filter(pa.array(toxic))
 
