@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,8 +49,12 @@ def drop_stored(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each piece holds about ``most`` bytes of ``column``; one row is never cut."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each piece holds about ``most`` bytes of ``column``; one row is never cut.
+
+    When they are used up, the memory they took goes back to the system: workers are kept for later tasks, beside
+    others of the same executor.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -58,6 +63,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
