@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,9 +58,11 @@ ROUNDED = {"two_hops_grouped": {"mean": 4}, "global_aggregates": {"total": 2, "m
 
 def text_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     make, text, _ = TEXTS[name]
+    mentioned = set(re.findall(r":(\w+)", text))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = make(spark, sf_dir).query(text)
+        g = star(spark, sf_dir, mentioned) if make is star else make(spark, sf_dir)
+        df = g.query(text)
         if name == "quantified_cycles":
             df = df.withColumn("seen", F.array_join(F.transform("seen", lambda x: x["id"]), ">"))
         if name == "path_machine":
@@ -72,7 +75,7 @@ def text_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star(spark, sf_dir).query(FLAGSHIP)
+    return text_query("flagship")(spark, sf_dir)
 
 
 # --- algorithms ------------------------------------------------------------------------------------------------------

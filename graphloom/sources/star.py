@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,7 +33,7 @@ def edges_of(df: DataFrame, a: str, source: Column | str, b: str, target: Column
 
 def star(spark: SparkSession, folder: str, only: set[str] | None = None) -> Graph:
     """The graph of the tables in ``folder``; ``only``: labels and types to take, by default all but SIMILAR."""
-    read = lambda t: spark.read.parquet(f"{folder}/{t}.parquet")
+    read = cache(lambda t: spark.read.parquet(f"{folder}/{t}.parquet"))
     want = lambda x: only is None or x in only
     nodes, edges = {}, {}
     for label, table, prefix, key in (("Region", "region", "r_", "r_regionkey"), ("Nation", "nation", "n_", "n_nationkey"), ("Customer", "customer", "c_", "c_custkey"), ("Supplier", "supplier", "s_", "s_suppkey"), ("Part", "part", "p_", "p_partkey"), ("Order", "orders", "o_", "o_orderkey")):
