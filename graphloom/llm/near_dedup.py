@@ -18,6 +18,8 @@ from graphloom.llm.toxicity import AROUND
 
 TOP = np.uint64(2**64 - 1)
 SHORT = 32
+#: Counts in a text's bag.
+BAG = 128
 
 
 def tokens(text: str) -> list[str]:
@@ -149,13 +151,63 @@ def size_class(words, threshold: float) -> F.Column:
     return F.floor(F.log(words.cast("double")) / F.lit(-math.log(threshold))).cast("int")
 
 
+def bags_of(texts: pa.Array) -> np.ndarray:
+    """(texts, BAG): how many of a text's words fall on each remainder of their hashes, up to 2**16 - 1."""
+    at, h = token_arrays(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+    counts = np.bincount(owner * BAG + (h % np.uint64(BAG)).astype(np.int64), minlength=len(texts) * BAG)
+    return np.minimum(counts, 2**16 - 1).astype("<u2").reshape(len(texts), BAG)
+
+
+def possible(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(doc_a, doc_b) of the pairs (doc_a, doc_b, longer) whose bags don't rule the threshold out: an edit adds one word
+    at most and takes one at most, so the distance is at least what either bag has over the other."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in bags_of(batch.column(1))], pa.binary())], names=["id", "bag"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BAG).astype(np.int32) for i in (3, 4))
+            over = np.maximum(np.maximum(a - b, 0).sum(axis=1), np.maximum(b - a, 0).sum(axis=1))
+            most = np.floor((1 - threshold) * batch.column(2).to_numpy(zero_copy_only=False) + 1e-9)
+            yield batch.filter(pa.array(over <= most)).select([0, 1])
+
+    named = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("id")).distinct()
+    bag = stored(texts.join(named, "id", "left_semi").mapInArrow(bags, "id long, bag binary"), "bags")
+    one = bag.select(F.col("id").alias("doc_a"), F.col("bag").alias("bag_a"))
+    two = bag.select(F.col("id").alias("doc_b"), F.col("bag").alias("bag_b"))
+    both = pairs.join(one, "doc_a").join(two, "doc_b").select("doc_a", "doc_b", "longer", "bag_a", "bag_b")
+    return both.mapInArrow(run, "doc_a long, doc_b long")
+
+
+def untried(members: DataFrame, roots: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
+    """(doc_a, doc_b, longer): all pairs that share a bucket, are not connected yet, were not compared and whose lengths
+    allow the threshold."""
+    part = members.join(roots, members.id == roots.node, "left").select("key", "class", "words", "id", F.coalesce("root", "id").alias("root"))
+    part = stored(part, "parts")
+    several = part.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    part_of = part.join(several, "key")
+    one = part_of.select("key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("class_a"), F.col("words").alias("words_a"), F.col("id").alias("a"), F.col("root").alias("root_a"))
+    two = part_of.select("key", "class", F.col("words").alias("words_b"), F.col("id").alias("b"), F.col("root").alias("root_b"))
+    longer = F.greatest("words_a", "words_b")
+    near = one.join(two, ["key", "class"]).where("root_a <> root_b and (class_a < class or a < b)")
+    near = near.where(longer - F.least("words_a", "words_b") <= F.floor((1 - threshold) * longer + 1e-9))
+    near = near.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), longer.alias("longer")).distinct()
+    rest = stored(near.join(tried, ["doc_a", "doc_b"], "left_anti"), "untried")
+    drop_stored(part)
+    return rest
+
+
 def linked(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs that connect all similar documents which share a bucket. members: (key, class, id).
+    """Verified pairs that connect all similar documents which share a bucket. members: (key, class, words, id).
 
     First every member is compared with the least member of its bucket and length class. Where members of one bucket
     are still unconnected, the least members of its connected parts are compared, if their length classes are the same
     or adjacent, round by round, until every two such parts that share a bucket have been. A bucket of thousands of
-    copies so costs thousands of comparisons, not millions.
+    copies so costs thousands of comparisons, not millions. At last every pair that shares a bucket and is still
+    unconnected is compared: each pair that isn't has ends that other pairs connect, so the groups are complete.
     """
     least = members.groupBy("key", "class").agg(F.min("id").alias("doc_a"))
     pairs = stored(members.join(least, ["key", "class"]).where("id > doc_a").select("doc_a", F.col("id").alias("doc_b")).distinct(), "pairs")
@@ -177,8 +229,10 @@ def linked(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         pairs = stored(near.join(tried, ["doc_a", "doc_b"], "left_anti"), "pairs")
         drop_stored(part_of)
         if pairs.isEmpty():
-            return found
+            break
         tried = tried.union(pairs)
+    rest = untried(members, roots, tried, threshold)
+    return found if rest.isEmpty() else found.union(verified(stored(possible(rest, texts, threshold), "pairs"), texts, threshold))
 
 
 def linked_by_keys(docs: DataFrame, sketched: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
@@ -187,7 +241,7 @@ def linked_by_keys(docs: DataFrame, sketched: DataFrame, threshold: float, id_co
     sketched = stored(sketched.where(F.size("keys") > 0), "sketches")
     firsts = stored(sketched.groupBy("digest").agg(F.min("id").alias("first"), F.first("words").alias("words"), F.first("keys").alias("keys")), "firsts")
     copies = sketched.select("id", "digest").join(firsts.select("digest", "first"), "digest").where("id > first").select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("similarity")).distinct()
-    buckets = firsts.select(F.explode("keys").alias("key"), size_class(F.col("words"), threshold).alias("class"), F.col("first").alias("id"))
+    buckets = firsts.select(F.explode("keys").alias("key"), size_class(F.col("words"), threshold).alias("class"), "words", F.col("first").alias("id"))
     shared = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     members = stored(buckets.join(shared, "key").distinct(), "members")
     texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))

@@ -1,12 +1,13 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from graphloom.llm.common import banded_distance, components
 from graphloom.llm.exact_dedup import DigestIndex, exact_dedup
 from graphloom.llm.fingerprints import similar_by_fingerprint
-from graphloom.llm.near_dedup import near_duplicates, similarity, tokens, without_near_duplicates
+from graphloom.llm.near_dedup import bags_of, linked_by_keys, near_duplicates, similarity, tokens, without_near_duplicates
 from graphloom.llm.repeats import repeated_passages, suffix_array
 from tests.llm.tables import SF, docs, nothing, odd
 
@@ -77,6 +78,34 @@ def test_groups_of_many_copies_stay_linear(spark):
     assert [r["doc_id"] for r in without_near_duplicates(docs(spark, texts)).select("doc_id").orderBy("doc_id").collect()] == [0, 120]
 
 
+def test_buckets_are_connected_through_any_of_their_members(spark):
+    """All share a bucket. Of each four only neighbours in the order 1, 2, 4, 3 are similar, so that no pair of parts'
+    least members joins {1, 2} and {3, 4}; then random walks of edits."""
+    r = random.Random(6)
+    texts = {}
+    for chain in range(8):
+        words = [f"c{chain}w{i}" for i in range(40)]
+        for i, n in enumerate((1, 2, 4, 3) if chain < 2 else r.sample(range(1, 5), 4)):
+            words[8 * i : 8 * i + 8] = [f"{x}e" for x in words[8 * i : 8 * i + 8]]
+            texts[10 * chain + n] = " ".join(words[: 40 - r.randrange(3) * (chain > 2)])
+    t = {i: tokens(x) for i, x in texts.items()}
+    want = {(a, b) for a, b in combinations(sorted(t), 2) if similarity(t[a], t[b], 0.75) is not None}
+    assert {p for p in want if p[1] < 10} == {(1, 2), (2, 4), (3, 4)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sketched = spark.createDataFrame([(i, bytes([i]), len(t[i]), [7, 8]) for i in texts], "id long, digest binary, words long, keys array<long>")
+    pairs = {(x["doc_a"], x["doc_b"]) for x in linked_by_keys(d, sketched, 0.75, "doc_id", "text").collect()}
+    assert pairs <= want and grouped(pairs, t) == grouped(want, t)
+
+
+def test_bags_never_rule_out_what_alignment_accepts(spark):
+    r = random.Random(7)
+    for _ in range(200):
+        a = [r.choice("abcdefgh") for _ in range(r.randrange(1, 30))]
+        b = [r.choice("abcdefgh") if r.random() < 0.2 else x for x in a for _ in range(r.choice((0, 1, 1, 1, 2)))]
+        x, y = bags_of(pa.array([" ".join(a), " ".join(b)])).astype(int)
+        assert max((x - y).clip(0).sum(), (y - x).clip(0).sum()) <= full_distance(a, b)
+
+
 @pytest.mark.parametrize("search", [near_duplicates, similar_by_fingerprint])
 def test_odd_tables(spark, search):
     pairs = {(r["doc_a"], r["doc_b"]) for r in search(odd(spark)).collect()}
