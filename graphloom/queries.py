@@ -171,6 +171,10 @@ def algorithm_filter_q(spark, sf_dir):
     return supply(spark, sf_dir).query("find n.key as k, degree(n) as d from (n:Nation) where degree(n) > 40 and n.key < 20")
 
 
+def algorithm_filter_all_q(spark, sf_dir):
+    return supply(spark, sf_dir).query("find n.key as k, degree(n) as d from (n:Nation) where degree(n) > 40")
+
+
 # --- traversal -------------------------------------------------------------------------------------------------------
 
 
@@ -239,17 +243,21 @@ def hybrid_q(spark, sf_dir):
     return retrieval.hybrid(g, TERM, query, k=10, label="Document", text_prop="text").select((F.col("id") / 16).cast("bigint").alias("k"), F.round("score", 9).alias("score"), F.col("text_rank").cast("bigint").alias("text_rank"), F.col("vector_rank").cast("bigint").alias("vector_rank"))
 
 
-def path_embedding_q(spark, sf_dir):
-    """Two-hop ways between vectors of consecutive numbers: the mean of their vectors."""
+def path_embedding_q(spark, sf_dir, some="key < 40"):
+    """Two-hop ways between vectors of consecutive numbers: the mean of their vectors. Without ``some`` those of all."""
     g = vectors(spark, sf_dir)
     n = g.nodes["Vector"].frame
-    e = n.where("key < 40").select(F.xxhash64("id").alias("id"), F.col("id").alias("source"), (F.col("id") + 16).alias("target"))
+    e = (n.where(some) if some else n).select(F.xxhash64("id").alias("id"), F.col("id").alias("source"), (F.col("id") + 16).alias("target"))
     ev = e.select("id", F.lit("w").alias("model"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
     g = g.but(edges={"AFTER": Edges(e, "Vector", "Vector")}, edge_vectors=ev)
     df = g.query('find a.key as k, path_embedding("default", "w") as v from (a:Vector)-[:AFTER]->(b:Vector)-[:AFTER]->(c:Vector)')
     return df.select("k", F.size("v").cast("bigint").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
+def path_embedding_all_q(spark, sf_dir):
+    return path_embedding_q(spark, sf_dir, None)
+
+
 # --- versions, merging, streams -----------------------------------------------------------------------------------------
 
 DAY = "2024-01-15 00:00:00"
@@ -374,6 +382,7 @@ OTHERS: dict[str, tuple[Callable, str | None]] = {
     "bfs": (bfs_q, HEAVY + ", w AS (SELECT 1 AS k, 0 AS d UNION SELECT b, d + 1 FROM w JOIN h ON a = k WHERE d < 30) SELECT CAST(k AS BIGINT) AS k, CAST(min(d) AS INT) AS distance FROM w GROUP BY k"),
     "weighted_distances": (shortest_paths_q, HEAVY + ", w AS (SELECT 1 AS k, CAST(0 AS BIGINT) AS d, 0 AS i UNION ALL SELECT b, min(d + n), i + 1 FROM w JOIN h ON a = k WHERE i < 8 GROUP BY b, i) SELECT CAST(k AS BIGINT) AS k, CAST(min(d) AS DOUBLE) AS distance FROM w GROUP BY k"),
     "algorithm_filter": (algorithm_filter_q, BUYS + ", x AS (SELECT k, count(*) AS d FROM (SELECT a AS k FROM e UNION ALL SELECT b FROM e) GROUP BY k) SELECT CAST(k AS INT) AS k, CAST(d AS DOUBLE) AS d FROM x WHERE d > 40 AND k < 20"),
+    "algorithm_filter_all": (algorithm_filter_all_q, BUYS + ", x AS (SELECT k, count(*) AS d FROM (SELECT a AS k FROM e UNION ALL SELECT b FROM e) GROUP BY k) SELECT CAST(k AS INT) AS k, CAST(d AS DOUBLE) AS d FROM x WHERE d > 40"),
     "traversal": (traverse_q, "SELECT l_partkey AS part, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_nationkey = 5 GROUP BY 1"),
     "sack": (sack_q, WAYS + "SELECT last AS node, CAST(list_sum(ns) + 1 AS DOUBLE) AS sack, d AS depth FROM w WHERE first = 'click'"),
     "knn": (knn_q, "SELECT vec_id AS k, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3)), 6) AS distance FROM embeddings ORDER BY distance, k LIMIT 10"),
@@ -383,6 +392,7 @@ OTHERS: dict[str, tuple[Callable, str | None]] = {
     "full_text": (full_text_q, DOCS_BM25 + "SELECT doc_id AS k, round(score, 6) AS score FROM x ORDER BY x.score DESC, doc_id LIMIT 50"),
     "hybrid": (hybrid_q, DOCS_BM25 + ", a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM x ORDER BY r LIMIT 40), b AS (SELECT vec_id, row_number() OVER (ORDER BY d, vec_id) - 1 AS r FROM (SELECT vec_id, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3)) AS d FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) ORDER BY r LIMIT 40) SELECT coalesce(doc_id, vec_id) AS k, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 9) AS score, a.r AS text_rank, b.r AS vector_rank FROM a FULL JOIN b ON doc_id = vec_id ORDER BY coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0) DESC, k LIMIT 10"),
     "path_embedding": (path_embedding_q, "SELECT a.vec_id AS k, CAST(66 AS BIGINT) AS size, round((list_sum(CAST(a.embedding AS DOUBLE[])) + list_sum(CAST(b.embedding AS DOUBLE[])) + list_sum(CAST(c.embedding AS DOUBLE[]))) / 3 + 3, 6) AS total FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = b.vec_id + 1 WHERE a.vec_id < 40 AND b.vec_id < 40"),
+    "path_embedding_all": (path_embedding_all_q, "SELECT a.vec_id AS k, CAST(66 AS BIGINT) AS size, round((list_sum(CAST(a.embedding AS DOUBLE[])) + list_sum(CAST(b.embedding AS DOUBLE[])) + list_sum(CAST(c.embedding AS DOUBLE[]))) / 3 + 3, 6) AS total FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = b.vec_id + 1"),
     "at_timestamp": (at_timestamp_q, f"SELECT mood, count(*) AS n FROM (SELECT user_id, arg_max(event_type, ts) AS mood FROM events WHERE ts <= TIMESTAMP '{DAY}' GROUP BY 1) GROUP BY 1"),
     "history_collection": (history_gc_q, f"WITH v AS (SELECT lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS till, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events), m AS (SELECT coalesce(till <= TIMESTAMP '{DAY}', false) AND r > 2 AS gone FROM v) SELECT 'kept' AS what, CAST(count_if(NOT gone) AS BIGINT) AS n FROM m UNION ALL SELECT 'dropped', CAST(count_if(gone) AS BIGINT) FROM m"),
     "upsert": (upsert_q, "WITH b AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT o_custkey AS k, count(*) AS o FROM orders GROUP BY 1) SELECT CASE WHEN b.k IS NULL THEN 'Created' WHEN n.k IS NULL THEN 'Kept' WHEN o <> 1 THEN 'Updated' ELSE 'Unchanged' END AS change, count(*) AS n, CAST(sum(coalesce(o, 1)) AS BIGINT) AS orders FROM b FULL JOIN n ON b.k = n.k GROUP BY 1"),
