@@ -297,6 +297,16 @@ def upsert_q(spark, sf_dir):
     return versions.merged(base, new, "key").groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum("orders").alias("orders"))
 
 
+def upsert_all_q(spark, sf_dir):
+    """All customers, with their number of orders before 1996, merged with that of their later ones."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    count = lambda when: orders.where(when).groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("orders"))
+    early = count("o_orderdate < date '1996-01-01'")
+    base = customers.join(early, F.col("c_custkey") == early.key, "left").select(node_id("Customer", "c_custkey").alias("id"), F.col("c_custkey").alias("key"), F.coalesce("orders", F.lit(0)).cast("bigint").alias("orders"))
+    return versions.merged(base, count("o_orderdate >= date '1996-01-01'"), "key").groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum("orders").alias("orders"))
+
+
 def delete_q(spark, sf_dir):
     g = star(spark, sf_dir, {"Customer", "Order", "PLACED"})
     g = g.run("delete (c:Customer) where c.acctbal < 0").graph
@@ -396,6 +406,7 @@ OTHERS: dict[str, tuple[Callable, str | None]] = {
     "at_timestamp": (at_timestamp_q, f"SELECT mood, count(*) AS n FROM (SELECT user_id, arg_max(event_type, ts) AS mood FROM events WHERE ts <= TIMESTAMP '{DAY}' GROUP BY 1) GROUP BY 1"),
     "history_collection": (history_gc_q, f"WITH v AS (SELECT lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS till, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events), m AS (SELECT coalesce(till <= TIMESTAMP '{DAY}', false) AND r > 2 AS gone FROM v) SELECT 'kept' AS what, CAST(count_if(NOT gone) AS BIGINT) AS n FROM m UNION ALL SELECT 'dropped', CAST(count_if(gone) AS BIGINT) FROM m"),
     "upsert": (upsert_q, "WITH b AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT o_custkey AS k, count(*) AS o FROM orders GROUP BY 1) SELECT CASE WHEN b.k IS NULL THEN 'Created' WHEN n.k IS NULL THEN 'Kept' WHEN o <> 1 THEN 'Updated' ELSE 'Unchanged' END AS change, count(*) AS n, CAST(sum(coalesce(o, 1)) AS BIGINT) AS orders FROM b FULL JOIN n ON b.k = n.k GROUP BY 1"),
+    "upsert_all": (upsert_all_q, "WITH b AS (SELECT c_custkey AS k, count(o_orderkey) AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate < DATE '1996-01-01' GROUP BY 1), n AS (SELECT o_custkey AS k, count(*) AS o FROM orders WHERE o_orderdate >= DATE '1996-01-01' GROUP BY 1) SELECT CASE WHEN b.k IS NULL THEN 'Created' WHEN n.k IS NULL THEN 'Kept' WHEN n.o <> b.o THEN 'Updated' ELSE 'Unchanged' END AS change, count(*) AS n, CAST(sum(coalesce(n.o, b.o)) AS BIGINT) AS orders FROM b FULL JOIN n ON b.k = n.k GROUP BY 1"),
     "delete_update": (delete_q, "SELECT CASE WHEN o_totalprice > 400000 THEN 'X' ELSE o_orderstatus END AS status, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal >= 0 GROUP BY 1"),
     "stream_upsert": (stream_q, "SELECT user_id, event_type AS mood, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"),
     "event_windows": (windows_q, "SELECT date_trunc('day', ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2"),
