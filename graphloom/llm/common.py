@@ -114,6 +114,20 @@ def plain(x: int) -> int:
 def banded_distance(a: list, b: list, most: int) -> int:
     """Edit distance (insert, delete, replace) of two sequences if it is at most ``most``, else ``most + 1``.
 
+    Bands grow by a factor of four until the distance fits, so that long texts cost what they differ by.
+    """
+    band = 64
+    while band * 2 < most:
+        d = within_band(a, b, band)
+        if d <= band:
+            return d
+        band *= 4
+    return within_band(a, b, most)
+
+
+def within_band(a: list, b: list, most: int) -> int:
+    """Edit distance of two sequences if it is at most ``most``, else ``most + 1``.
+
     Only the diagonals from -most to most are computed. The band is one integer, a bit for a cell's step to the
     next row, so that a column costs a few operations on 2 * most + 1 bits.
     """

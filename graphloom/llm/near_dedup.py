@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from graphloom.llm.language import normal
 from graphloom.llm.toxicity import AROUND
 
 TOP = np.uint64(2**64 - 1)
-SHORT = 32
+#: Bytes that ids sent to every executor may take there.
+MOST_BROADCAST = 128 << 20
 #: Counts in a text's bag.
 BAG = 128
 
@@ -89,12 +91,12 @@ def order_min_hashes(to: np.ndarray, kmers: np.ndarray, sketches: int, size: int
     return out
 
 
-def sketches_of(texts: pa.Array, k: int, size: int, sketches: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, offsets, keys): each text's number of words and sketch keys; texts of fewer than SHORT words also have those of single words."""
+def sketches_of(texts: pa.Array, k: int, size: int, sketches: int, seed: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, offsets, keys): each text's number of words and sketch keys; texts of fewer than ``short`` words also have those of single words."""
     at, h = token_arrays(texts)
     full = order_min_hashes(*labelled_kmers(at, h, k), sketches, size, seed)
     lengths = np.diff(at)
-    few = np.flatnonzero((lengths > 0) & (lengths < SHORT))
+    few = np.flatnonzero((lengths > 0) & (lengths < short))
     lists = [row for row in full]
     if len(few):
         sub = np.concatenate([[0], np.cumsum(lengths[few])])
@@ -182,6 +184,12 @@ def possible(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "doc_a long, doc_b long")
 
 
+def lengths_allow(words_a: str, words_b: str, threshold: float) -> F.Column:
+    """Whether two lengths alone allow the threshold: a distance is at least the difference of the lengths."""
+    longer = F.greatest(words_a, words_b)
+    return longer - F.least(words_a, words_b) <= F.floor((1 - threshold) * longer + 1e-9)
+
+
 def untried(members: DataFrame, roots: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
     """(doc_a, doc_b, longer): all pairs that share a bucket, are not connected yet, were not compared and whose lengths
     allow the threshold."""
@@ -191,15 +199,27 @@ def untried(members: DataFrame, roots: DataFrame, tried: DataFrame, threshold: f
     part_of = part.join(several, "key")
     one = part_of.select("key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("class_a"), F.col("words").alias("words_a"), F.col("id").alias("a"), F.col("root").alias("root_a"))
     two = part_of.select("key", "class", F.col("words").alias("words_b"), F.col("id").alias("b"), F.col("root").alias("root_b"))
-    longer = F.greatest("words_a", "words_b")
-    near = one.join(two, ["key", "class"]).where("root_a <> root_b and (class_a < class or a < b)")
-    near = near.where(longer - F.least("words_a", "words_b") <= F.floor((1 - threshold) * longer + 1e-9))
-    near = near.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), longer.alias("longer")).distinct()
+    near = one.join(two, ["key", "class"]).where("root_a <> root_b and (class_a < class or a < b)").where(lengths_allow("words_a", "words_b", threshold))
+    near = near.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), F.greatest("words_a", "words_b").alias("longer")).distinct()
     rest = stored(near.join(tried, ["doc_a", "doc_b"], "left_anti"), "untried")
     drop_stored(part)
     return rest
 
 
+def joined_roots(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, root) after more edges: only the old parts' roots that the new edges connect are looked at."""
+    if roots is None:
+        return stored(components(edges), "roots")
+    one = roots.select(F.col("node").alias("doc_a"), F.col("root").alias("root_a"))
+    two = roots.select(F.col("node").alias("doc_b"), F.col("root").alias("root_b"))
+    ends = edges.join(one, "doc_a", "left").join(two, "doc_b", "left").select("doc_a", "doc_b", F.coalesce("root_a", "doc_a").alias("root_a"), F.coalesce("root_b", "doc_b").alias("root_b"))
+    tops = components(ends, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    nodes = roots.union(ends.select("doc_a", "root_a")).union(ends.select("doc_b", "root_b")).distinct()
+    after = stored(nodes.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+    drop_stored(roots)
+    return after
+
+
 def linked(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Verified pairs that connect all similar documents which share a bucket. members: (key, class, words, id).
 
@@ -208,52 +228,99 @@ def linked(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     or adjacent, round by round, until every two such parts that share a bucket have been. A bucket of thousands of
     copies so costs thousands of comparisons, not millions. At last every pair that shares a bucket and is still
     unconnected is compared: each pair that isn't has ends that other pairs connect, so the groups are complete.
+    Pairs whose lengths alone rule the threshold out are nowhere compared. What is returned is written; the tables made
+    on the way are deleted.
     """
-    least = members.groupBy("key", "class").agg(F.min("id").alias("doc_a"))
-    pairs = stored(members.join(least, ["key", "class"]).where("id > doc_a").select("doc_a", F.col("id").alias("doc_b")).distinct(), "pairs")
-    tried, found = pairs, None
+    least = members.groupBy("key", "class").agg(F.min("id").alias("doc_a"), F.min_by("words", "id").alias("words_a"))
+    first = members.join(least, ["key", "class"]).where("id > doc_a").where(lengths_allow("words_a", "words", threshold))
+    pairs = stored(first.select("doc_a", F.col("id").alias("doc_b")).distinct(), "pairs")
+    rounds, edges, roots = [pairs], [], None
     while True:
-        new = stored(verified(pairs, texts, threshold), "edges")
-        found = new if found is None else found.union(new)
-        roots = components(found)
-        part = members.join(roots, members.id == roots.node, "left").groupBy("key", "class", F.coalesce("root", "id").alias("root")).agg(F.min("id").alias("id"))
+        edges.append(stored(verified(pairs, texts, threshold), "edges"))
+        roots = joined_roots(roots, edges[-1])
+        part = members.join(roots, members.id == roots.node, "left").groupBy("key", "class", F.coalesce("root", "id").alias("root")).agg(F.min("id").alias("id"), F.min_by("words", "id").alias("words"))
         part = stored(part, "parts")
         several = part.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         part_of = stored(part.join(several, "key"), "parts")
         drop_stored(part)
-        one = part_of.select("key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("class_a"), F.col("id").alias("a"), F.col("root").alias("root_a"))
-        two = part_of.select("key", "class", F.col("id").alias("b"), F.col("root").alias("root_b"))
+        one = part_of.select("key", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("class_a"), F.col("words").alias("words_a"), F.col("id").alias("a"), F.col("root").alias("root_a"))
+        two = part_of.select("key", "class", F.col("words").alias("words_b"), F.col("id").alias("b"), F.col("root").alias("root_b"))
         # Of the same class each two once, of adjacent ones the shorter class's from the left.
-        near = one.join(two, ["key", "class"]).where("root_a <> root_b and (class_a < class or a < b)")
+        near = one.join(two, ["key", "class"]).where("root_a <> root_b and (class_a < class or a < b)").where(lengths_allow("words_a", "words_b", threshold))
         near = near.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
-        pairs = stored(near.join(tried, ["doc_a", "doc_b"], "left_anti"), "pairs")
+        pairs = stored(near.join(reduce(DataFrame.union, rounds), ["doc_a", "doc_b"], "left_anti"), "pairs")
         drop_stored(part_of)
+        rounds.append(pairs)
         if pairs.isEmpty():
             break
-        tried = tried.union(pairs)
-    rest = untried(members, roots, tried, threshold)
-    return found if rest.isEmpty() else found.union(verified(stored(possible(rest, texts, threshold), "pairs"), texts, threshold))
+    rest = untried(members, roots, reduce(DataFrame.union, rounds), threshold)
+    if not rest.isEmpty():
+        last = stored(possible(rest, texts, threshold), "pairs")
+        edges.append(stored(verified(last, texts, threshold), "edges"))
+        rounds.append(last)
+    found = stored(reduce(DataFrame.union, edges), "links")
+    drop_stored(roots, rest, *rounds, *edges)
+    return found
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the rows whose id is among ids, one a row. The ids go to every executor while they take less than
+    MOST_BROADCAST bytes there, so that only texts that are looked for move; beyond that both sides are shuffled."""
+    texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
+    small = ids.count() * 32 <= MOST_BROADCAST
+    return texts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
 
 def linked_by_keys(docs: DataFrame, sketched: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """(doc_a, doc_b, similarity) from each document's (id, digest, words, keys): copies paired with the least of
-    them, the others by linked()."""
-    sketched = stored(sketched.where(F.size("keys") > 0), "sketches")
-    firsts = stored(sketched.groupBy("digest").agg(F.min("id").alias("first"), F.first("words").alias("words"), F.first("keys").alias("keys")), "firsts")
-    copies = sketched.select("id", "digest").join(firsts.select("digest", "first"), "digest").where("id > first").select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("similarity")).distinct()
-    buckets = firsts.select(F.explode("keys").alias("key"), size_class(F.col("words"), threshold).alias("class"), "words", F.col("first").alias("id"))
+    them, the others by linked(). Of copies some may have keys and some not (first_seen())."""
+    sketched = stored(sketched.where("words > 0"), "sketches")
+    several = sketched.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
+    copies = stored(sketched.select("id", "digest").join(several, "digest").where("id > first").select("id", "first").distinct(), "copies")
+    buckets = sketched.select(F.explode("keys").alias("key"), F.col("words").cast("int").alias("words"), "id")
     shared = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    members = stored(buckets.join(shared, "key").distinct(), "members")
-    texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    texts = stored(texts.join(members.select("id").distinct(), "id", "left_semi"), "texts")
-    return linked(members, texts, threshold).union(copies)
+    raw = stored(buckets.join(shared, "key"), "members")
+    drop_stored(sketched)
+    # Only now, when few are left, the least copy takes the place of the others.
+    named = raw.join(copies, "id", "left").select("key", size_class(F.col("words"), threshold).alias("class"), "words", F.coalesce("first", "id").alias("id")).distinct()
+    named = stored(named, "members")
+    drop_stored(raw)
+    shared = named.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    members = stored(named.join(shared, "key"), "members")
+    drop_stored(named)
+    ids = stored(members.select("id").distinct(), "ids")
+    texts = stored(texts_of(docs, ids, id_col, text_col), "texts")
+    found = linked(members, texts, threshold)
+    drop_stored(members, ids, texts)
+    return found.union(copies.select(F.col("first").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("similarity")))
+
+
+def first_seen(digests: pa.Array, seen: set) -> np.ndarray:
+    """Which rows have a digest that isn't in ``seen`` yet, which gets them. A task so emits a text's keys once, and
+    thousands of copies make no hot buckets; a set that has grown large starts anew, which only costs work."""
+    if len(seen) > 1 << 20:
+        seen.clear()
+    out = np.zeros(len(digests), bool)
+    for i, d in enumerate(digests.to_pylist()):
+        if d not in seen:
+            seen.add(d)
+            out[i] = True
+    return out
+
+
+def emitted(lengths: np.ndarray, values: np.ndarray, keep: np.ndarray) -> pa.ListArray:
+    """Lists of the given lengths over values; those not to be kept become empty."""
+    at = np.concatenate([[0], np.cumsum(np.where(keep, lengths, 0))])
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values[np.repeat(keep, lengths)].view(np.int64)))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 3, size: int = 3, sketches: int = 32, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 3, size: int = 3, sketches: int = 32, short: int = 32, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_a, doc_b, similarity): pairs of near duplicates, doc_a < doc_b, that connect each group of them.
 
     A sketch is the ``size`` least of a text's occurrence-labelled k-mers of words under one of ``sketches`` hash
-    orders, in the order of the text. Texts with an equal sketch are candidates; a pair counts if alignment finds a
+    orders, in the order of the text. Texts of fewer than ``short`` words, where one edit
+    takes a large part of the k-mers, have as many sketches of single words besides; that adds candidates and takes none.
+    Texts with an equal sketch are candidates; a pair counts if alignment finds a
     word edit distance of at most 1 - threshold of the longer text. Case and outer punctuation don't count. Documents
     are in one group if such pairs connect them; copies of a text are paired with the least of them, others with
     members of their bucket (linked()), so that a group of n has about n pairs and not n squared.
@@ -262,9 +329,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 3, size:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for batch in slices(batches, "text"):
-            words, at, keys = sketches_of(batch.column(2), k, size, sketches, seed)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64)))
+            words, at, keys = sketches_of(batch.column(2), k, size, sketches, seed, short)
+            lists = emitted(np.diff(at), keys, first_seen(batch.column(1), seen))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words), lists], names=["id", "digest", "words", "keys"])
 
     rows = comparable(docs, id_col, text_col)
