@@ -8,7 +8,7 @@ from graphloom.llm.common import banded_distance, components
 from graphloom.llm.exact_dedup import DigestIndex, exact_dedup
 from graphloom.llm.fingerprints import similar_by_fingerprint
 from graphloom.llm.near_dedup import bags_of, linked_by_keys, near_duplicates, similarity, tokens, without_near_duplicates
-from graphloom.llm.repeats import repeated_passages, suffix_array
+from graphloom.llm.repeats import Windows, exact_prefixes, occurrences, prime_windows, repeated_passages, suffix_array
 from tests.llm.tables import SF, docs, nothing, odd
 
 
@@ -180,12 +180,7 @@ def brute_repeats(texts, least):
         before = {texts[d].split()[i - 1] if i else ("start", d) for d, i in at}
         after = {texts[d].split()[i + len(run)] if i + len(run) < len(texts[d].split()) else ("end", d) for d, i in at}
         if len(before) > 1 and len(after) > 1:
-            clear, last = set(), {}
-            for d, i in sorted(at):
-                if d not in last or i - last[d] >= len(run):
-                    clear.add((d, i))
-                    last[d] = i
-            out[run] = clear
+            out[run] = set(at)
     return out
 
 
@@ -202,24 +197,59 @@ def test_maximal_repeats_against_enumeration(spark, seed):
         texts[d] = " ".join(words)
     texts[14], texts[15], texts[16] = texts[0], texts[0], ""
     want = brute_repeats(texts, 4)
-    rows = repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), least=4).collect()
+    tree = repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), least=4)
+    listed = [(x["doc_id"], x["start_word"]) for x in tree.collect()]
+    assert len(listed) < 2 * len(set(listed)) + len(want)
     got: dict = {}
-    for x in rows:
+    for x in occurrences(tree).collect():
         got.setdefault(x["repeat_id"], []).append((x["n_words"], x["doc_id"], x["start_word"]))
     found = {}
-    for occurrences in got.values():
-        n, d, i = occurrences[0]
+    for places in got.values():
+        n, d, i = places[0]
         run = tuple(texts[d].split()[i : i + n])
-        assert all(tuple(texts[d].split()[i : i + n]) == run for n, d, i in occurrences) and run not in found
-        assert len(set(occurrences)) == len(occurrences)
-        found[run] = {(d, i) for _, d, i in occurrences}
+        assert all(tuple(texts[d].split()[i : i + n]) == run for n, d, i in places) and run not in found
+        found[run] = {(d, i) for _, d, i in places}
     assert found == want
 
 
+def test_repeats_grow_with_the_words_and_not_with_groups_squares(spark):
+    """Of n near copies with scattered edits each place is listed once, whatever n."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    copies = []
+    for d in range(80):
+        words = list(base)
+        for j in r.sample(range(60), 2):
+            words[j] = f"e{d}"
+        copies.append(" ".join(words))
+    rows = repeated_passages(docs(spark, copies), least=10).collect()
+    places = {(x["doc_id"], x["start_word"]) for x in rows}
+    nodes = {x["repeat_id"] for x in rows}
+    assert len(places) <= 80 * 60 and len(rows) <= len(places) + len(nodes)
+
+
+def test_equal_hashes_of_different_words():
+    """Thue-Morse words of two letters collide in polynomials modulo 2 ** 64."""
+    import numpy as np
+
+    t = np.array([bin(i).count("1") & 1 for i in range(2048)])
+    two = np.array([0x1234567, 0x89ABCDEF], np.uint64)
+    a, b = two[t], two[1 - t]
+    h = np.concatenate([a, b])
+    w = Windows(h)
+    ends = np.array([0, 2048])
+    assert w.at(ends[:1], 2048)[0] == w.at(ends[1:], 2048)[0]
+    assert prime_windows(h, ends[:1], np.array([2048]))[0] != prime_windows(h, ends[1:], np.array([2048]))[0]
+    order, lcp = np.array([0, 2048]), np.array([0, 2048])
+    assert exact_prefixes(h, order, lcp).tolist() == [0, 0]
+
+
 def test_repeats_in_odd_tables(spark):
     assert repeated_passages(nothing(spark)).count() == 0
     assert repeated_passages(odd(spark)).count() == 0
     passage = " ".join(f"w{i}" for i in range(51))
-    rows = repeated_passages(docs(spark, ["left " + passage, passage + " right", passage + " right", None, "no"])).collect()
+    tree = repeated_passages(docs(spark, ["left " + passage, passage + " right", passage + " right", None, "no"]))
+    assert {r["n_words"] for r in tree.where("parent_id is null").collect()} == {51}
+    rows = occurrences(tree).collect()
     assert {(r["doc_id"], r["start_word"]) for r in rows if r["n_words"] == 51} == {(0, 1), (1, 0), (2, 0)}
     assert {r["doc_id"] for r in rows if r["n_words"] == 52} == {1, 2}
