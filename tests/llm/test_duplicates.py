@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from graphloom.llm.common import banded_distance, components
-from graphloom.llm.exact_dedup import DigestIndex, exact_dedup
+from graphloom.llm.exact_dedup import DigestIndex, exact_dedup, unseen
 from graphloom.llm.fingerprints import similar_by_fingerprint
 from graphloom.llm.near_dedup import bags_of, linked_by_keys, near_duplicates, similarity, tokens, without_near_duplicates
 from graphloom.llm.repeats import Windows, exact_prefixes, occurrences, prime_windows, repeated_passages, suffix_array
@@ -148,10 +148,42 @@ def test_the_index_persists(spark, tmp_path):
     assert [r["doc_id"] for r in exact_dedup(later, index(spark, tmp_path)).collect()] == [11]
     again = DigestIndex(spark, str(tmp_path / "i"), 4)
     assert again.read().count() == 3
+    found = later.selectExpr("cast(text as binary) as digest", "doc_id as owner")
+    again.compact()
+    stored_side = unseen(found, again)._jdf.queryExecution().executedPlan().toString().split("digest_index_")[0]
+    assert stored_side.count("Sort [") == stored_side.count("Exchange hash") == 1  # the new rows' alone
     plan = exact_dedup(later, again)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_the_index_refuses_other_buckets(spark, tmp_path):
+    texts = docs(spark, [f"text {i}" for i in range(50)])
+    first = index(spark, tmp_path)
+    assert exact_dedup(texts, first).count() == 50
+    first.close()
+    with pytest.raises(ValueError):
+        DigestIndex(spark, str(tmp_path / "i"), 8)
+    later = texts.selectExpr("doc_id + 1000 as doc_id", "text")
+    reopened = DigestIndex(spark, str(tmp_path / "i"))
+    assert reopened.buckets == 4 and exact_dedup(later, reopened).count() == 0
+
+
+def test_null_ids_in_later_runs(spark, tmp_path):
+    d = spark.createDataFrame([(None, "a"), (None, "b"), (3, "c")], "doc_id long, text string")
+    assert exact_dedup(d, index(spark, tmp_path)).count() == 3
+    assert [r["text"] for r in exact_dedup(d, index(spark, tmp_path)).collect()] == ["c"]
+
+
+def test_the_index_is_compacted(spark, tmp_path):
+    i = DigestIndex(spark, str(tmp_path / "c"), 2, most_files=2)
+    for n in range(4):
+        exact_dedup(spark.createDataFrame([(10 * n + k, f"{n} {k}") for k in range(9)], "doc_id long, text string"), i).count()
+    assert i.generation >= 1 and len(i.read().inputFiles()) <= 4
+    again = DigestIndex(spark, str(tmp_path / "c"))
+    assert (again.generation, again.buckets, again.read().count()) == (i.generation, 2, 36)
+    assert exact_dedup(spark.createDataFrame([(99, "0 0"), (98, "new")], "doc_id long, text string"), again).count() == 1
+
+
 # --- repeats ---------------------------------------------------------------------------------------------------------
 
 
