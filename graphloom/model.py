@@ -92,6 +92,7 @@ class Graph:
     indexes: dict[str, tuple[str, str, str]] = field(default_factory=dict)
     sketches: dict = field(default_factory=dict)
     cached: dict = field(default_factory=dict)
+    built: dict = field(default_factory=dict)
 
     @classmethod
     def of(cls, spark: SparkSession, nodes: DataFrame, edges: DataFrame | None = None) -> Graph:
@@ -118,6 +119,9 @@ class Graph:
         return cls(spark, {k: Nodes(v) for k, v in by_label.items()}, {k: Edges(v) for k, v in by_type.items()})
 
     def but(self, **changes) -> Graph:
+        # What is stored of an index holds as long as the nodes do; after a write it is made anew when it is asked for.
+        if "nodes" in changes:
+            changes["built"] = {}
         return replace(self, cached={}, **changes)
 
     # tables
@@ -196,9 +200,28 @@ class Graph:
             out = out.union(p)
         return out
 
-    def find(self, label: str, **equal) -> DataFrame:
-        """Nodes of a label by property values (get_node_by_property and its kin)."""
-        df = self.node_table(label)
-        for k, v in equal.items():
-            df = df.where(named(k) == F.lit(v))
-        return df
+    def find(self, label: str | None, **equal) -> DataFrame:
+        """Nodes of a label, or of all labels that have the properties, by their values (get_node_by_property and its
+        kin). The filter is in each label's scan."""
+
+        def one(name: str) -> DataFrame:
+            df = self.node_table(name)
+            for k, v in equal.items():
+                df = df.where(named(k) == F.lit(v)) if k in df.columns else df.limit(0)
+            return df
+
+        if label is not None:
+            return one(label)
+        have = [k for k, n in self.nodes.items() if set(equal) <= set(n.properties)]
+        return together([one(k) for k in have]) if have else self.node_table("")
+
+    def find_edges(self, kind: str | None, **equal) -> DataFrame:
+        """Edges of a type, or of all types that have the properties, by their values."""
+        kinds = [kind] if kind is not None else [k for k, e in self.edges.items() if set(equal) <= set(e.properties)]
+        out = []
+        for k in kinds:
+            df = self.edge_table(k)
+            for p, v in equal.items():
+                df = df.where(named(p) == F.lit(v)) if p in df.columns else df.limit(0)
+            out.append(df)
+        return together(out) if out else self.edge_table("")

@@ -167,6 +167,30 @@ def distances(g: Graph, start, weight: str | None = None, direction: str = "out"
             return known.select("id", "distance", "parent")
 
 
+def average_path_length(g: Graph, sources: DataFrame | None = None) -> float:
+    """The mean distance along the edges' directions over all pairs of different nodes that are connected; 0 without
+    any. All sources (or those given) go a level a round; a pair is kept once, so this needs a row a connected pair."""
+    steps = ends(g).where("source <> target").select(F.col("source").alias("v"), F.col("target").alias("w")).distinct()
+    begin = ids(g).distinct() if sources is None else sources.toDF("id")
+    fringe = written(begin.select(F.col("id").alias("s"), F.col("id").alias("v")))
+    seen, depth, total, pairs = [fringe], 0, 0, 0
+    while True:
+        depth += 1
+        met = seen[0]
+        for x in seen[1:]:
+            met = met.union(x)
+        reach = fringe.join(steps, "v").select("s", F.col("w").alias("v")).distinct()
+        fringe = written(reach.join(met, ["s", "v"], "left_anti"))
+        n = fringe.count()
+        if not n:
+            break
+        seen.append(fringe)
+        total, pairs = total + n * depth, pairs + n
+    for x in seen:
+        forget(x)
+    return total / pairs if pairs else 0.0
+
+
 def distance(g: Graph, u, v, weight: str | None = None) -> float:
     """From u to v along the edges' directions; -1 where there is no way."""
     row = distances(g, u, weight, stop=v).where(F.col("id") == F.lit(v)).first()

@@ -48,7 +48,7 @@ def below(g: Graph, name: str) -> DataFrame:
     round, over the ontology's own edges."""
     if SUB not in g.edges:
         return g.spark.createDataFrame([], "label string")
-    edges = class_edges(g)
+    edges = written(class_edges(g))
     found = written(edges.where(F.col("super") == name).select(F.col("sub").alias("label")).distinct())
     fringe = found
     while True:

@@ -132,16 +132,63 @@ def similarity_to(g: Graph, node, model: str) -> DataFrame:
     return vectors_of(g, model).select("id", cosine(F.col("vector"), vector_literal(vector_of(g, node, model))).alias("similarity"))
 
 
+#: Vectors in a block of knn_join().
+BLOCK = 4096
+
+
+def blocks(df: DataFrame, names: list[str]) -> tuple[DataFrame, int]:
+    """(id, vector, block), named so, of (id, vector), and how many blocks there are: a block is a hash of the id."""
+    n = max(1, -(-df.count() // BLOCK))
+    return df.select("id", F.col("vector").cast("array<double>"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).toDF(*names), n
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """(id, other, distance): the k nearest others of each left row. Exact: every pair is compared, and only each
-    row's best k of a task are shuffled."""
-    b = right.select(F.col("id").alias("other"), F.col("vector").alias("v"), norm(F.col("vector")).alias("nv"))
-    a = left.select("id", F.col("vector").alias("u"), norm(F.col("vector")).alias("nu"))
-    pair = a.crossJoin(b).where("id <> other")
-    size = F.col("nu") * F.col("nv")
-    scored = pair.select("id", "other", F.when((size == 0) | (F.size("u") != F.size("v")), 1.0).otherwise(1.0 - dot(F.col("u"), F.col("v")) / F.when(size != 0, size)).alias("distance"))
+    """(id, other, distance): the k nearest others of each left row, by cosine distance, ties to the lesser id. Exact:
+    every two blocks of vectors meet in one task, which multiplies them as matrices and keeps each row's best k; only
+    those are merged. A vector without a length, or of another size, has distance 1."""
+    import numpy as np
+    import pandas as pd
+
+    ids = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
+    a, m = blocks(left, ["from", "vector", "%l"])
+    b, n = blocks(right, ["to", "vector", "%r"])
+    a = a.withColumn("%r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    b = b.withColumn("%l", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            y = y.sort_values("to", kind="stable")
+            by_size: dict = {}
+            for i, v in enumerate(y["vector"]):
+                by_size.setdefault(len(v), []).append(i)
+            other = y["to"].to_numpy()
+            columns = {}
+            for size, at in by_size.items():
+                w = np.stack([np.asarray(y["vector"].iat[i], float) for i in at])
+                length = np.linalg.norm(w, axis=1, keepdims=True)
+                columns[size] = (np.array(at), w / np.where(length > 0, length, 1.0))
+            rows = list(zip(x["from"].tolist(), x["vector"]))
+            for start in range(0, len(rows), 512):
+                some = rows[start : start + 512]
+                distance = np.ones((len(some), len(other)))
+                for size, (at, w) in columns.items():
+                    mine = [i for i, (_, v) in enumerate(some) if len(v) == size]
+                    if mine:
+                        u = np.stack([np.asarray(some[i][1], float) for i in mine])
+                        length = np.linalg.norm(u, axis=1, keepdims=True)
+                        distance[np.ix_(mine, at)] = 1.0 - (u / np.where(length > 0, length, 1.0)) @ w.T
+                for i, (own, _) in enumerate(some):
+                    d = np.where(other == own, np.inf, distance[i])
+                    edge = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+                    near = np.flatnonzero(d <= edge) if np.isfinite(edge) else np.flatnonzero(np.isfinite(d))
+                    near = near[np.argsort(d[near], kind="stable")][:k]  # by id where distances are equal
+                    out += [(own, other[j], float(d[j])) for j in near]
+        return pd.DataFrame(out, columns=["id", "other", "distance"])
+
+    met = a.groupBy("%l", "%r").cogroup(b.groupBy("%l", "%r")).applyInPandas(nearest, f"id {ids[0]}, other {ids[1]}, distance double")
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
-    return scored.withColumn("place", place).where(F.col("place") <= k).select("id", "other", "distance")
+    return met.withColumn("place", place).where(F.col("place") <= k).select("id", "other", "distance")
 
 
 def knn_lists(g: Graph, wanted: DataFrame, k: int, model: str) -> DataFrame:
@@ -160,11 +207,11 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, id, tf, length): the inverted index of (id, text); what a full-text index is written as."""
-    words = docs.where(named(text).isNotNull()).select("id", terms(named(text)).alias("words"))
-    each = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    return each.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+def search(g: Graph, name: str, query: str, k: int | None = 1000) -> DataFrame:
+    """(id, score) from a stored full-text index (operators.indexes)."""
+    from graphloom.operators.indexes import search as found
+
+    return found(g, name, query, k)
 
 
 def _times(words: str, term: str) -> Column:

@@ -163,6 +163,14 @@ def violations(g: Graph, shapes: list[Shape]) -> DataFrame:
                 elif c.kind == "in":
                     hit = focus.join(hop.where(~F.col("target").isin(list(c.value))), F.col("%focus") == F.col("source"))
                     parts.append(report(hit, "%focus", s, p.path.edge, c))
+                elif c.kind not in ("minCount", "maxCount"):
+                    # Of an edge's target the value is its id: datatype, range, length and pattern hold for that.
+                    if invalid(c):
+                        hit = focus.join(hop, F.col("%focus") == F.col("source"))
+                        parts.append(report(hit, "%focus", s, p.path.edge, Constraint(c.kind, c.value, "Warning", f"{c.value} is no pattern")))
+                    else:
+                        hit = focus.join(hop.where(bad(c, F.col("target"), hop.schema["target"].dataType, F.lit(1))), F.col("%focus") == F.col("source"))
+                        parts.append(report(hit, "%focus", s, p.path.edge, c))
     for p in parts:
         out = p if out is None else out.unionByName(p)
     if out is None:

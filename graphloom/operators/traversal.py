@@ -26,6 +26,19 @@ def neighbours(g: Graph, node, direction: str = "out", kind: str | None = None)
     return hops(g, direction, kind).where(F.col("a") == F.lit(node)).select(F.col("b").alias("id"))
 
 
+def edges_of(g: Graph, node, direction: str = "out", kind: str | None = None) -> DataFrame:
+    """A node's edges with their properties; ``direction`` says on which side the node is. A loop is on both."""
+    e = g.edge_table(kind)
+    parts = [e.where(F.col(end) == F.lit(node)).withColumn("direction", F.lit(word)) for end, word in (("source", "out"), ("target", "in")) if direction in (word, "both")]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def two_hops(g: Graph, first: str, second: str) -> DataFrame:
+    """(a, b, c): ways over an edge of the one type and then one of the other."""
+    one = g.edge_table(first).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return one.join(g.edge_table(second).select(F.col("source").alias("b"), F.col("target").alias("c")), "b").select("a", "b", "c")
+
+
 @dataclass(frozen=True)
 class Traversal:
     """A lazy frontier of nodes in which repetitions stay: every step is a join, a filter or a cut."""

@@ -53,6 +53,23 @@ def history_of(g: Graph, label: str, node) -> DataFrame:
     return g.history.nodes[label].where(F.col("id") == F.lit(node)).orderBy("version")
 
 
+def edge_history(g: Graph, kind: str, edge) -> DataFrame:
+    return g.history.edges[kind].where(F.col("id") == F.lit(edge)).orderBy("version")
+
+
+def edges_at(g: Graph, kind: str, t) -> DataFrame:
+    """The edges of a type that held at t."""
+    return valid(g.history.edges[kind], t)
+
+
+def node_at(g: Graph, label: str, node, t, strict: bool = False) -> dict | None:
+    """A node as it was at t, or None; with ``strict`` a LookupError where it wasn't there."""
+    row = valid(g.history.nodes[label].where(F.col("id") == F.lit(node)), t).first()
+    if row is None and strict:
+        raise LookupError(f"{node} wasn't there at {t}")
+    return None if row is None else row.asDict()
+
+
 def collected(versions: DataFrame, cutoff, keep: int = 1, active: object = None) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): versions that ended before the cutoff, and before the earliest time that is still read, go;
     the last ``keep`` versions of each id stay whatever their age."""

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from graphloom.functions.expressions import Typed, condition, failing, literal, required, strict, truth, value
 from graphloom.model import Graph, named
 from graphloom.operators import algorithms, ontology, retrieval
-from graphloom.plans.matching import EDGES, NODES, Needs, joined, match
+from graphloom.plans.matching import EDGES, NODES, Needs, cut, joined, match
 from graphloom.plans.syntax import Bin, Call, Lit, PatternError, Prop, Query, Star, Un, conjuncts, walk
 
 AGGREGATES = {"count", "sum", "avg", "min", "max"}
@@ -50,8 +50,9 @@ def text_of(e: Call, i: int, default: str | None = None) -> str:
 
 
 class Compiler:
-    def __init__(self, g: Graph, q: Query):
-        self.g, self.q = g.as_of(q.at) if q.at is not None and hasattr(g, "as_of") else g, q
+    def __init__(self, g: Graph, q: Query, observation=None):
+        """observation: gets the number of matches and their greatest depth, for PROFILE."""
+        self.g, self.q, self.observation = g, q, observation
         if q.at is not None:
             from graphloom.operators.versions import as_of
 
@@ -71,6 +72,7 @@ class Compiler:
                     self.rels[r.var] = r.type
         self.df: DataFrame | None = None
         self.attached: dict = {}
+        self.classes: dict[str, DataFrame] = {}
         self.state: dict[str, Typed] | None = None
 
     # what is read
@@ -130,6 +132,8 @@ class Compiler:
                         needs.path_node_props.add(x.names[0])
         needs.path_edge_props -= {"id", "type", "source", "target"}
         needs.path_node_props -= {"id", "label", "kind"}
+        if self.observation is not None and self.quantified and len(self.q.patterns) == 1:
+            needs.path = True
         if needs.path and (len(self.q.patterns) != 1 or not self.q.patterns[0].rels):
             raise PatternError("path functions need one pattern with a relationship")
         return needs
@@ -199,7 +203,7 @@ class Compiler:
             flag = lambda ids: ids.select(F.col(ids.columns[0]), F.lit(True))
             if name in ("instanceof", "subclassof"):
                 kind = "Individual" if name == "instanceof" else "Class"
-                self.attach(e, flag(ontology.below(g, text_of(e, 1))), f"{var}.label", False)
+                self.attach(e, flag(self.below(text_of(e, 1))), f"{var}.label", False)
                 column = self.attached[name, e.args]
                 self.df = self.df.withColumn(column, named(column) & (named(f"{var}.kind") == kind))
             elif name == "has_embedding":
@@ -342,10 +346,16 @@ class Compiler:
         self.df = self.df.withColumn("%state", last)
         return {v: (F.col("%state")[v], t) for v, t in kinds.items()}
 
+    def below(self, cls: str) -> DataFrame:
+        """The classes below one, looked up once a query."""
+        if cls not in self.classes:
+            self.classes[cls] = ontology.below(self.g, cls)
+        return self.classes[cls]
+
     def members(self, name: str, cls: str) -> Typed:
         _, which, what = name.split("_")
         column = f"%m{len(self.df.columns)}"
-        below = ontology.below(self.g, cls).agg(F.collect_set("label").alias(column))  # as many as the ontology has classes
+        below = self.below(cls).agg(F.collect_set("label").alias(column))  # as many as the ontology has classes
         self.df = self.df.crossJoin(below)
         kind = "Individual" if what == "instanceof" else "Class"
         test = lambda x: F.array_contains(F.col(column), x["label"]) & (x["kind"] == kind)
@@ -364,7 +374,9 @@ class Compiler:
         if name == "pattern_embedding":
             whole = F.concat(F.flatten(F.zip_with(nodes, edges, lambda n, x: F.concat(retrieval.present(n), F.coalesce(x, F.array().cast("array<double>"))))))
             return F.when(F.exists(edges, lambda v: v.isNull()), failing("an edge of the path has no vector", array)).otherwise(whole), array
-        path = F.concat(retrieval.mean(nodes, "node"), retrieval.mean(edges, "edge"))
+        held = f"%v{len(self.df.columns)}"  # a column of its own, or each use would repeat the whole expression
+        self.df = self.df.withColumn(held, F.concat(retrieval.mean(nodes, "node"), retrieval.mean(edges, "edge")))
+        path = named(held)
         if name == "path_embedding":
             return path, array
         if name == "path_embedding_similarity":
@@ -393,10 +405,13 @@ class Compiler:
         needs = self.needs()
         self.check(needs)
         frames = []
-        for p in q.patterns:
+        for p in q.patterns if needs.path else cut(q.patterns):
             vs = {n.var for n in p.nodes} | {r.var for r in p.rels}
             frames.append((match(self.g, p, needs), vs))
         self.df = joined(frames)
+        if self.observation is not None:
+            depth = F.max(F.size(EDGES)) if EDGES in self.df.columns else F.lit(None).cast("int")
+            self.df = self.df.observe(self.observation, F.count(F.lit(1)).alias("bindings"), depth.alias("depth"))
         if q.where is not None:
             parts = conjuncts(q.where)
             slow = [c for c in parts if self.calls(ALGORITHMS | {"shortestpath"}, c)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,6 +187,26 @@ def variable(g: Graph, df: DataFrame, a: Node, r: Rel, b: Node, needs: Needs, ag
     return out.join(nodes, named(f"{b.var}.id") == F.col("%to")).drop("%to")
 
 
+def cut(patterns: list[Pattern]) -> list[Pattern]:
+    """Patterns of which one ends in a node that another one has as well, taken apart two hops before that end.
+
+    The end and the node at the cut are then keys of one join, after the others have bound the end, where otherwise all
+    of the last two hops would be walked before the end is compared. The last part comes last.
+    """
+    out, tails = [], []
+    for i, p in enumerate(patterns):
+        others = {n.var for j, q in enumerate(patterns) if j != i for n in q.nodes}
+        names = [n.var for n in p.nodes]
+        plain = all(r.least is None for r in p.rels) and len(set(names)) == len(names)
+        if len(p.rels) >= 3 and plain and names[-1] in others and not others & set(names[-3:-1]) and others & set(names[:-3]):
+            middle = p.nodes[-3]
+            out.append(Pattern(p.nodes[:-2], p.rels[:-2]))
+            tails.append(Pattern((replace(middle, props=()), *p.nodes[-2:]), p.rels[-2:]))
+        else:
+            out.append(p)
+    return out + tails
+
+
 def joined(frames: list[tuple[DataFrame, set[str]]]) -> DataFrame:
     """Patterns joined on the ids of their common variables. Patterns that share a variable with what is joined
     already come first; one that shares none is multiplied."""

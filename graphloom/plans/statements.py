@@ -81,11 +81,16 @@ def run(g: Graph, s) -> Result:
         name = f"{s.label}_{s.prop}"
         if name in g.indexes:
             raise PatternError(f"there is an index {name}")
-        return Result("index", g.but(indexes={**g.indexes, name: (s.label, s.prop, s.kind)}), summary={"created": name})
+        from graphloom.operators.indexes import build
+
+        held = build(g, s.label, s.prop, s.kind)
+        after = g.but(indexes={**g.indexes, name: (s.label, s.prop, s.kind)}, built={**g.built, name: held} if held is not None else g.built)
+        return Result("index", after, summary={"created": name})
     if isinstance(s, DropIndex):
         if s.name not in g.indexes:
             raise PatternError(f"no index {s.name}")
-        return Result("index", g.but(indexes={k: v for k, v in g.indexes.items() if k != s.name}), summary={"dropped": s.name})
+        after = g.but(indexes={k: v for k, v in g.indexes.items() if k != s.name}, built={k: v for k, v in g.built.items() if k != s.name})
+        return Result("index", after, summary={"dropped": s.name})
     if isinstance(s, Sketch):
         return sketched(g, s)
     if isinstance(s, Commit):
@@ -118,11 +123,12 @@ def profiled(g: Graph, q: Query) -> Result:
     from graphloom.storage import written
 
     began = time.time()
-    compiler = Compiler(g, q)
-    seen = Observation()
+    matched, seen = Observation(), Observation()
+    compiler = Compiler(g, q, matched)
     df = compiler.compile().observe(seen, F.count(F.lit(1)).alias("rows"))
     rows = written(df)
     summary = {"rows": seen.get["rows"], "columns": rows.columns, "ms": round(1000 * (time.time() - began), 3)}
+    summary |= {"bindings_examined": matched.get["bindings"], "bindings_emitted": seen.get["rows"]}
     if any(r.least is not None for p in q.patterns for r in p.rels):
-        summary["max_depth"] = sum(r.most or 1 for p in q.patterns for r in p.rels)
+        summary["max_depth"] = matched.get["depth"] or 0
     return Result("profile", g, rows, summary, plan_text(g, q))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from graphloom.model import Edges, Graph, Nodes, named
 from graphloom.operators import algorithms, community, ontology, retrieval, shapes, traversal, versions
 from graphloom.sources import files
-from graphloom.sources.star import node_id, star, supply, transitions
+from graphloom.queries_operators import EXTRA, hybrid_where_q
+from graphloom.sources.star import node_id, star, supply, trade, transitions
 
 FLAGSHIP = 'find n.name as name, count(*) as orders, sum(o.totalprice) as revenue from (n:Nation)<-[:LIVES_IN]-(c:Customer)-[:PLACED]->(o:Order) where o.orderstatus = "F" group by n.name having count(*) > 1 order by revenue desc'
 
@@ -96,6 +97,8 @@ def heavy(g: Graph) -> Graph:
     return g.but(edges={"BUYS_FROM": Edges(e.frame.crossJoin(mean).where("lines > mean").drop("mean"), "Nation", "Nation")})
 
 
+TRADE = "WITH RECURSIVE nodes AS (SELECT o_orderkey * 16 + 4 AS id FROM orders UNION ALL SELECT p_partkey * 16 + 5 FROM part UNION ALL SELECT s_suppkey * 16 + 3 FROM supplier), h AS (SELECT l_orderkey * 16 + 4 AS a, l_partkey * 16 + 5 AS b, l_quantity AS q FROM lineitem UNION ALL SELECT l_suppkey * 16 + 3, l_partkey * 16 + 5, 1.0 FROM lineitem UNION ALL SELECT l_suppkey * 16 + 3, l_orderkey * 16 + 4, 2.0 FROM lineitem), u AS (SELECT a, b, min(q) AS n FROM (SELECT a, b, q FROM h UNION ALL SELECT b, a, q FROM h) GROUP BY a, b)"
+KC = "SELECT id // 16 AS k, CAST(id % 16 AS INT) AS code, "
 HEAVY = BUYS + ", h AS (SELECT a, b, n FROM e WHERE n > (SELECT avg(n) FROM e)), u AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM h UNION ALL SELECT b, a FROM h)), v AS (SELECT a, b FROM u WHERE a <> b)"
 
 
@@ -124,17 +127,17 @@ NATIONS = BUYS.replace("WITH RECURSIVE", "WITH") + ", nodes AS (SELECT n_nationk
 
 
 def personalised_q(spark, sf_dir):
-    g = supply(spark, sf_dir)
-    start = g.node_table("Nation").where("key < 3").select("id")
-    return keyed(algorithms.pagerank(g, most=5, tolerance=0, start=start), "pagerank", 9).drop("code")
+    g = purchases(spark, sf_dir)
+    start = g.node_table("Supplier").where("nationkey = 3").select("id")
+    return keyed(algorithms.pagerank(g, most=5, tolerance=0, start=start), "pagerank", 9)
 
 
 def clustering_q(spark, sf_dir):
-    return keyed(algorithms.clustering(heavy(supply(spark, sf_dir))), "clustering", 9).drop("code")
+    return keyed(algorithms.clustering(trade(spark, sf_dir)), "clustering", 9)
 
 
 def triangles_q(spark, sf_dir):
-    return keyed(algorithms.triangles(heavy(supply(spark, sf_dir))), "n").drop("code")
+    return keyed(algorithms.triangles(trade(spark, sf_dir)), "n")
 
 
 def betweenness_q(spark, sf_dir):
@@ -147,31 +150,26 @@ def components_q(spark, sf_dir):
 
 
 def label_propagation_q(spark, sf_dir):
-    return community.community_fast(heavy(supply(spark, sf_dir))).select((F.col("id") / 16).cast("bigint").alias("k"), "community")
+    return keyed(community.community_fast(trade(spark, sf_dir)), "community")
 
 
 def community_q(spark, sf_dir):
-    return community.community(heavy(supply(spark, sf_dir))).select((F.col("id") / 16).cast("bigint").alias("k"), "community")
+    return community.community(star(spark, sf_dir, {"Event", "NEXT"})).select((F.col("id") / 16).cast("bigint").alias("k"), "community")
 
 
 def leiden_q(spark, sf_dir):
-    return community.leiden(heavy(supply(spark, sf_dir))).select((F.col("id") / 16).cast("bigint").alias("k"), "community")
+    return community.leiden(star(spark, sf_dir, {"Event", "NEXT"})).select((F.col("id") / 16).cast("bigint").alias("k"), "community")
 
 
 def bfs_q(spark, sf_dir):
-    return keyed(traversal.bfs(heavy(supply(spark, sf_dir)), 17, max_nodes=None).distances, "distance").drop("code")
+    return keyed(traversal.bfs(trade(spark, sf_dir), 16 + 3, "both", max_nodes=None).distances, "distance")
 
 
 def shortest_paths_q(spark, sf_dir):
-    found = algorithms.distances(heavy(supply(spark, sf_dir)), 17, "lines")
-    return keyed(found, "distance").drop("code")
+    return keyed(algorithms.distances(trade(spark, sf_dir), 16 + 3, "qty", "both"), "distance")
 
 
 def algorithm_filter_q(spark, sf_dir):
-    return supply(spark, sf_dir).query("find n.key as k, degree(n) as d from (n:Nation) where degree(n) > 40 and n.key < 20")
-
-
-def algorithm_filter_all_q(spark, sf_dir):
     return supply(spark, sf_dir).query("find n.key as k, degree(n) as d from (n:Nation) where degree(n) > 40")
 
 
@@ -243,21 +241,17 @@ def hybrid_q(spark, sf_dir):
     return retrieval.hybrid(g, TERM, query, k=10, label="Document", text_prop="text").select((F.col("id") / 16).cast("bigint").alias("k"), F.round("score", 9).alias("score"), F.col("text_rank").cast("bigint").alias("text_rank"), F.col("vector_rank").cast("bigint").alias("vector_rank"))
 
 
-def path_embedding_q(spark, sf_dir, some="key < 40"):
-    """Two-hop ways between vectors of consecutive numbers: the mean of their vectors. Without ``some`` those of all."""
+def path_embedding_q(spark, sf_dir):
+    """Two-hop ways between vectors of consecutive numbers: the mean of their vectors."""
     g = vectors(spark, sf_dir)
     n = g.nodes["Vector"].frame
-    e = (n.where(some) if some else n).select(F.xxhash64("id").alias("id"), F.col("id").alias("source"), (F.col("id") + 16).alias("target"))
+    e = n.select(F.xxhash64("id").alias("id"), F.col("id").alias("source"), (F.col("id") + 16).alias("target"))
     ev = e.select("id", F.lit("w").alias("model"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
     g = g.but(edges={"AFTER": Edges(e, "Vector", "Vector")}, edge_vectors=ev)
     df = g.query('find a.key as k, path_embedding("default", "w") as v from (a:Vector)-[:AFTER]->(b:Vector)-[:AFTER]->(c:Vector)')
     return df.select("k", F.size("v").cast("bigint").alias("size"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-def path_embedding_all_q(spark, sf_dir):
-    return path_embedding_q(spark, sf_dir, None)
-
-
 # --- versions, merging, streams -----------------------------------------------------------------------------------------
 
 DAY = "2024-01-15 00:00:00"
@@ -289,15 +283,6 @@ def history_gc_q(spark, sf_dir):
 
 
 def upsert_q(spark, sf_dir):
-    """Customers merged with what their orders say of them."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    base = customers.where("c_custkey % 3 <> 0").select(node_id("Customer", "c_custkey").alias("id"), F.col("c_custkey").alias("key"), F.lit(1).cast("bigint").alias("orders"))
-    new = orders.groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("orders"))
-    return versions.merged(base, new, "key").groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum("orders").alias("orders"))
-
-
-def upsert_all_q(spark, sf_dir):
     """All customers, with their number of orders before 1996, merged with that of their later ones."""
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -381,18 +366,17 @@ def tensors_q(spark, sf_dir):
 OTHERS: dict[str, tuple[Callable, str | None]] = {
     "degree": (degree_q, PURCHASES + " SELECT id // 16 AS k, CAST(id % 16 AS INT) AS code, CAST(coalesce(n, 0) AS DOUBLE) AS degree FROM nodes LEFT JOIN (SELECT x, count(*) AS n FROM (SELECT a AS x FROM links UNION ALL SELECT b FROM links) GROUP BY x) ON x = id"),
     "pagerank": (pagerank_q, _ranks(10, "1.0 / (SELECT count(*) FROM nodes)", "(1.0 / (SELECT count(*) FROM nodes))", PURCHASES) + " SELECT id // 16 AS k, CAST(id % 16 AS INT) AS code, round(r, 9) AS pagerank FROM r10"),
-    "personalised_pagerank": (personalised_q, _ranks(5, "CASE WHEN id < 3 THEN 1.0 / 3 ELSE 0 END", "(CASE WHEN nodes.id < 3 THEN 1.0 / 3 ELSE 0 END)", NATIONS) + " SELECT CAST(id AS BIGINT) AS k, round(r, 9) AS pagerank FROM r5"),
-    "clustering": (clustering_q, HEAVY + ", k AS (SELECT a, count(*) AS k FROM u GROUP BY a), t AS (SELECT x.a, count(*) AS t FROM u x JOIN u y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY x.a) SELECT CAST(n_nationkey AS BIGINT) AS k, round(CASE WHEN k.k >= 2 THEN 2.0 * coalesce(t, 0) / (k.k * (k.k - 1)) ELSE 0 END, 9) AS clustering FROM nation LEFT JOIN k ON k.a = n_nationkey LEFT JOIN t ON t.a = n_nationkey"),
-    "triangles": (triangles_q, HEAVY + " SELECT CAST(x.a AS BIGINT) AS k, count(*) AS n FROM v x JOIN v y ON x.a = y.a AND x.b < y.b JOIN v z ON z.a = x.b AND z.b = y.b GROUP BY x.a"),
+    "personalised_pagerank": (personalised_q, _ranks(5, "CASE WHEN id IN (SELECT s_suppkey * 16 + 3 FROM supplier WHERE s_nationkey = 3) THEN 1.0 / (SELECT count(*) FROM supplier WHERE s_nationkey = 3) ELSE 0 END", "(CASE WHEN nodes.id IN (SELECT s_suppkey * 16 + 3 FROM supplier WHERE s_nationkey = 3) THEN 1.0 / (SELECT count(*) FROM supplier WHERE s_nationkey = 3) ELSE 0 END)", PURCHASES) + " SELECT id // 16 AS k, CAST(id % 16 AS INT) AS code, round(r, 9) AS pagerank FROM r5"),
+    "clustering": (clustering_q, TRADE + ", d AS (SELECT a, count(*) AS d FROM u GROUP BY a), o AS (SELECT u.a, u.b FROM u JOIN d x ON x.a = u.a JOIN d y ON y.a = u.b WHERE x.d < y.d OR (x.d = y.d AND u.a < u.b)), t AS (SELECT x.a, x.b, y.b AS c FROM o x JOIN o y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b), t3 AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY id) " + KC + "round(CASE WHEN d.d >= 2 THEN 2.0 * coalesce(n, 0) / (d.d * (d.d - 1)) ELSE 0 END, 9) AS clustering FROM nodes LEFT JOIN d ON d.a = id LEFT JOIN t3 USING (id)"),
+    "triangles": (triangles_q, TRADE + ", d AS (SELECT a, count(*) AS d FROM u GROUP BY a), o AS (SELECT u.a, u.b FROM u JOIN d x ON x.a = u.a JOIN d y ON y.a = u.b WHERE x.d < y.d OR (x.d = y.d AND u.a < u.b)), t AS (SELECT x.a, x.b, y.b AS c FROM o x JOIN o y ON x.a = y.a AND x.b < y.b JOIN u z ON z.a = x.b AND z.b = y.b), t3 AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY id) " + KC + "n FROM t3"),
     "betweenness": (betweenness_q, None),
     "components": (components_q, "SELECT event_id AS k, first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS component FROM events"),
-    "label_propagation": (label_propagation_q, None),
+    "label_propagation": (label_propagation_q, TRADE + ", l0 AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS l FROM nodes), l1 AS (SELECT id, coalesce(best, l) AS l FROM l0 LEFT JOIN (SELECT a, first(l ORDER BY n DESC, l) AS best FROM (SELECT u.a, x.l, count(*) AS n FROM u JOIN l0 x ON x.id = u.b WHERE u.a <> u.b GROUP BY 1, 2) GROUP BY a) ON a = id), l2 AS (SELECT id, coalesce(best, l) AS l FROM l1 LEFT JOIN (SELECT a, first(l ORDER BY n DESC, l) AS best FROM (SELECT u.a, x.l, count(*) AS n FROM u JOIN l1 x ON x.id = u.b WHERE u.a <> u.b GROUP BY 1, 2) GROUP BY a) ON a = id), l3 AS (SELECT id, coalesce(best, l) AS l FROM l2 LEFT JOIN (SELECT a, first(l ORDER BY n DESC, l) AS best FROM (SELECT u.a, x.l, count(*) AS n FROM u JOIN l2 x ON x.id = u.b WHERE u.a <> u.b GROUP BY 1, 2) GROUP BY a) ON a = id) " + KC + "dense_rank() OVER (ORDER BY l) - 1 AS community FROM l3"),
     "community": (community_q, None),
     "leiden": (leiden_q, None),
-    "bfs": (bfs_q, HEAVY + ", w AS (SELECT 1 AS k, 0 AS d UNION SELECT b, d + 1 FROM w JOIN h ON a = k WHERE d < 30) SELECT CAST(k AS BIGINT) AS k, CAST(min(d) AS INT) AS distance FROM w GROUP BY k"),
-    "weighted_distances": (shortest_paths_q, HEAVY + ", w AS (SELECT 1 AS k, CAST(0 AS BIGINT) AS d, 0 AS i UNION ALL SELECT b, min(d + n), i + 1 FROM w JOIN h ON a = k WHERE i < 8 GROUP BY b, i) SELECT CAST(k AS BIGINT) AS k, CAST(min(d) AS DOUBLE) AS distance FROM w GROUP BY k"),
-    "algorithm_filter": (algorithm_filter_q, BUYS + ", x AS (SELECT k, count(*) AS d FROM (SELECT a AS k FROM e UNION ALL SELECT b FROM e) GROUP BY k) SELECT CAST(k AS INT) AS k, CAST(d AS DOUBLE) AS d FROM x WHERE d > 40 AND k < 20"),
-    "algorithm_filter_all": (algorithm_filter_all_q, BUYS + ", x AS (SELECT k, count(*) AS d FROM (SELECT a AS k FROM e UNION ALL SELECT b FROM e) GROUP BY k) SELECT CAST(k AS INT) AS k, CAST(d AS DOUBLE) AS d FROM x WHERE d > 40"),
+    "bfs": (bfs_q, TRADE + ", w AS (SELECT CAST(19 AS BIGINT) AS id, 0 AS d UNION SELECT b, d + 1 FROM w JOIN u ON a = id WHERE d < 6) " + KC + "CAST(min(d) AS INT) AS distance FROM w GROUP BY id"),
+    "weighted_distances": (shortest_paths_q, TRADE + ", w AS (SELECT CAST(19 AS BIGINT) AS id, CAST(0 AS DOUBLE) AS d, 0 AS i UNION ALL SELECT b, min(d + n), i + 1 FROM w JOIN u ON a = id WHERE i < 9 GROUP BY b, i) " + KC + "min(d) AS distance FROM w GROUP BY id"),
+    "algorithm_filter": (algorithm_filter_q, BUYS + ", x AS (SELECT k, count(*) AS d FROM (SELECT a AS k FROM e UNION ALL SELECT b FROM e) GROUP BY k) SELECT CAST(k AS INT) AS k, CAST(d AS DOUBLE) AS d FROM x WHERE d > 40"),
     "traversal": (traverse_q, "SELECT l_partkey AS part, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_nationkey = 5 GROUP BY 1"),
     "sack": (sack_q, WAYS + "SELECT last AS node, CAST(list_sum(ns) + 1 AS DOUBLE) AS sack, d AS depth FROM w WHERE first = 'click'"),
     "knn": (knn_q, "SELECT vec_id AS k, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3)), 6) AS distance FROM embeddings ORDER BY distance, k LIMIT 10"),
@@ -401,12 +385,10 @@ OTHERS: dict[str, tuple[Callable, str | None]] = {
     "similar_to": (similar_to_q, "SELECT vec_id AS k, label AS cls, true AS h FROM (SELECT vec_id, label, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3)) AS d FROM embeddings ORDER BY d, vec_id LIMIT 12)"),
     "full_text": (full_text_q, DOCS_BM25 + "SELECT doc_id AS k, round(score, 6) AS score FROM x ORDER BY x.score DESC, doc_id LIMIT 50"),
     "hybrid": (hybrid_q, DOCS_BM25 + ", a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM x ORDER BY r LIMIT 40), b AS (SELECT vec_id, row_number() OVER (ORDER BY d, vec_id) - 1 AS r FROM (SELECT vec_id, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3)) AS d FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) ORDER BY r LIMIT 40) SELECT coalesce(doc_id, vec_id) AS k, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 9) AS score, a.r AS text_rank, b.r AS vector_rank FROM a FULL JOIN b ON doc_id = vec_id ORDER BY coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0) DESC, k LIMIT 10"),
-    "path_embedding": (path_embedding_q, "SELECT a.vec_id AS k, CAST(66 AS BIGINT) AS size, round((list_sum(CAST(a.embedding AS DOUBLE[])) + list_sum(CAST(b.embedding AS DOUBLE[])) + list_sum(CAST(c.embedding AS DOUBLE[]))) / 3 + 3, 6) AS total FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = b.vec_id + 1 WHERE a.vec_id < 40 AND b.vec_id < 40"),
-    "path_embedding_all": (path_embedding_all_q, "SELECT a.vec_id AS k, CAST(66 AS BIGINT) AS size, round((list_sum(CAST(a.embedding AS DOUBLE[])) + list_sum(CAST(b.embedding AS DOUBLE[])) + list_sum(CAST(c.embedding AS DOUBLE[]))) / 3 + 3, 6) AS total FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = b.vec_id + 1"),
+    "path_embedding": (path_embedding_q, "SELECT a.vec_id AS k, CAST(66 AS BIGINT) AS size, round((list_sum(CAST(a.embedding AS DOUBLE[])) + list_sum(CAST(b.embedding AS DOUBLE[])) + list_sum(CAST(c.embedding AS DOUBLE[]))) / 3 + 3, 6) AS total FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = b.vec_id + 1"),
     "at_timestamp": (at_timestamp_q, f"SELECT mood, count(*) AS n FROM (SELECT user_id, arg_max(event_type, ts) AS mood FROM events WHERE ts <= TIMESTAMP '{DAY}' GROUP BY 1) GROUP BY 1"),
     "history_collection": (history_gc_q, f"WITH v AS (SELECT lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS till, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events), m AS (SELECT coalesce(till <= TIMESTAMP '{DAY}', false) AND r > 2 AS gone FROM v) SELECT 'kept' AS what, CAST(count_if(NOT gone) AS BIGINT) AS n FROM m UNION ALL SELECT 'dropped', CAST(count_if(gone) AS BIGINT) FROM m"),
-    "upsert": (upsert_q, "WITH b AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT o_custkey AS k, count(*) AS o FROM orders GROUP BY 1) SELECT CASE WHEN b.k IS NULL THEN 'Created' WHEN n.k IS NULL THEN 'Kept' WHEN o <> 1 THEN 'Updated' ELSE 'Unchanged' END AS change, count(*) AS n, CAST(sum(coalesce(o, 1)) AS BIGINT) AS orders FROM b FULL JOIN n ON b.k = n.k GROUP BY 1"),
-    "upsert_all": (upsert_all_q, "WITH b AS (SELECT c_custkey AS k, count(o_orderkey) AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate < DATE '1996-01-01' GROUP BY 1), n AS (SELECT o_custkey AS k, count(*) AS o FROM orders WHERE o_orderdate >= DATE '1996-01-01' GROUP BY 1) SELECT CASE WHEN b.k IS NULL THEN 'Created' WHEN n.k IS NULL THEN 'Kept' WHEN n.o <> b.o THEN 'Updated' ELSE 'Unchanged' END AS change, count(*) AS n, CAST(sum(coalesce(n.o, b.o)) AS BIGINT) AS orders FROM b FULL JOIN n ON b.k = n.k GROUP BY 1"),
+    "upsert": (upsert_q, "WITH b AS (SELECT c_custkey AS k, count(o_orderkey) AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate < DATE '1996-01-01' GROUP BY 1), n AS (SELECT o_custkey AS k, count(*) AS o FROM orders WHERE o_orderdate >= DATE '1996-01-01' GROUP BY 1) SELECT CASE WHEN b.k IS NULL THEN 'Created' WHEN n.k IS NULL THEN 'Kept' WHEN n.o <> b.o THEN 'Updated' ELSE 'Unchanged' END AS change, count(*) AS n, CAST(sum(coalesce(n.o, b.o)) AS BIGINT) AS orders FROM b FULL JOIN n ON b.k = n.k GROUP BY 1"),
     "delete_update": (delete_q, "SELECT CASE WHEN o_totalprice > 400000 THEN 'X' ELSE o_orderstatus END AS status, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal >= 0 GROUP BY 1"),
     "stream_upsert": (stream_q, "SELECT user_id, event_type AS mood, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"),
     "event_windows": (windows_q, "SELECT date_trunc('day', ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2"),
@@ -416,11 +398,12 @@ OTHERS: dict[str, tuple[Callable, str | None]] = {
     "schema": (schema_q, "SELECT 'node' AS kind, 'Region' AS name, count(*) AS n FROM region UNION ALL SELECT 'node', 'Nation', count(*) FROM nation UNION ALL SELECT 'node', 'Order', count(*) FROM orders UNION ALL SELECT 'edge', 'IN_REGION', count(*) FROM nation"),
     "tensors": (tensors_q, "WITH x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM (SELECT n_nationkey * 16 + 1 AS id FROM nation UNION ALL SELECT r_regionkey * 16 FROM region)) SELECT n_nationkey AS n, n_regionkey AS r, a.i AS source, b.i AS target FROM nation JOIN x a ON a.id = n_nationkey * 16 + 1 JOIN x b ON b.id = n_regionkey * 16"),
 }
+OTHERS["hybrid_where"] = (hybrid_where_q, f"SELECT k FROM ({OTHERS['hybrid'][1]})")
 
 
 def queries() -> dict:
-    return {name: text_query(name) for name in TEXTS} | {name: f for name, (f, _) in OTHERS.items()}
+    return {name: text_query(name) for name in TEXTS} | {name: f for name, (f, _) in {**OTHERS, **EXTRA}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, _, sql) in TEXTS.items()} | {name: sql for name, (_, sql) in OTHERS.items() if sql}
+    return {name: sql for name, (_, _, sql) in TEXTS.items()} | {name: sql for name, (_, sql) in {**OTHERS, **EXTRA}.items() if sql}

@@ -291,7 +291,7 @@ def import_turtle(spark: SparkSession, text: str, into: Graph | None = None) ->
             t = T.BooleanType() if all(isinstance(v, bool) for v in values) else T.LongType() if all(isinstance(v, int) and not isinstance(v, bool) for v in values) else T.DoubleType() if all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values) else T.StringType()
             fields.append((n, t))
         data = [tuple(None if r.get(n) is None else float(r[n]) if isinstance(t, T.DoubleType) else str(r[n]) if isinstance(t, T.StringType) else r[n] for n, t in fields) for r in rows]
-        df = spark.createDataFrame(data, T.StructType([T.StructField(n, t) for n, t in fields]))
+        df = spark.createDataFrame(data, T.StructType([T.StructField(n, t) for n, t in fields])).coalesce(1)
         if label in nodes:
             df = df.join(nodes[label].frame.select("id"), "id", "left_anti")
             df = together([nodes[label].frame, df])
@@ -302,7 +302,7 @@ def import_turtle(spark: SparkSession, text: str, into: Graph | None = None) ->
         if s in individuals and isinstance(o, str) and o in individuals:
             linked.setdefault(short(p), []).append((s.strip("<>"), o.strip("<>")))
     for kind, pairs in {**({"subClassOf": links} if links else {}), **linked}.items():
-        e = spark.createDataFrame(pairs, "source string, target string").select(F.xxhash64("source", "target").alias("id"), "source", "target")
+        e = spark.createDataFrame(pairs, "source string, target string").coalesce(1).select(F.xxhash64("source", "target").alias("id"), "source", "target")
         if kind in edges:
             e = edges[kind].frame.unionByName(e.join(edges[kind].frame, ["source", "target"], "left_anti"), allowMissingColumns=True)
         edges[kind] = Edges(e)
@@ -315,17 +315,17 @@ def export_turtle(g: Graph) -> str:
     n = g.node_table()
     if "iri" not in n.columns:
         return "\n".join(lines)
-    classes = {r["id"]: r["iri"] for r in n.where("kind = 'Class' and iri is not null").select("id", "iri").toLocalIterator()}
+    classes = {r["id"]: r["iri"] for r in n.where("kind = 'Class' and iri is not null").select("id", "iri").collect()}
     by_label = {short(i): i for i in classes.values()}
     up: dict = {}
     if "subClassOf" in g.edges:
-        for r in g.edge_table("subClassOf").select("source", "target").distinct().toLocalIterator():
+        for r in g.edge_table("subClassOf").select("source", "target").distinct().collect():
             if r["source"] in classes and r["target"] in classes:
                 up.setdefault(classes[r["source"]], set()).add(classes[r["target"]])
     for iri in sorted(classes.values()):
         lines.append(f"<{iri}> a owl:Class" + "".join(f" ;\n    rdfs:subClassOf <{x}>" for x in sorted(up.get(iri, ()))) + " .")
     props = [c for c in n.columns if c not in ("id", "label", "kind", "iri", "name")] + (["name"] if "name" in n.columns else [])
-    for r in n.where("kind = 'Individual' and iri is not null").orderBy("iri").toLocalIterator():
+    for r in n.where("kind = 'Individual' and iri is not null").orderBy("iri").collect():
         kind = by_label.get(r["label"], r["label"])
         stem = r["iri"][: len(r["iri"]) - len(short(r["iri"]))]
         parts = [f"<{r['iri']}> a <{kind}>"]

@@ -22,10 +22,11 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: it survives executors, and later plans start from it."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, perhaps in folders by a column: it survives executors, and later plans start
+    from it."""
     path = f"{work_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.written_at = path
     return back

@@ -300,3 +300,43 @@ def test_stream(spark, tmp_path):
     assert go() == {1: "c", 2: "x"}
     spark.createDataFrame([(1, 2, "late"), (3, 1, "new")], schema).coalesce(1).write.parquet(str(tmp_path / "in/1"))
     assert go() == {1: "c", 2: "x", 3: "new"}
+
+
+def test_shapes_at_the_ends_of_edges(spark):
+    g = people(spark, [(0, 1), (0, 2), (1, 3)])
+    c = shapes.Constraint
+    s = shapes.Shape("p", (shapes.PropertyShape(shapes.Path(edge="KNOWS"), (c("maxInclusive", 2), c("datatype", "string", "Warning"))),), target_class="Person")
+    got = sorted((r["focus"], r["message"]) for r in shapes.violations(g, [s]).collect())
+    assert got == [("0", "datatype string"), ("0", "datatype string"), ("1", "datatype string"), ("1", "maxInclusive 2")]
+
+
+def test_nearest_others_in_blocks(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    v = [(i, [r.choice((0.0, 1.0, -1.0)) for _ in range(3)]) for i in range(40)] + [(40, [0.0, 0.0, 0.0]), (41, [1.0])]
+    monkeypatch.setattr(retrieval, "BLOCK", 11)
+
+    def distance(a, b):
+        x, y = math.hypot(*a), math.hypot(*b)
+        return 1.0 if len(a) != len(b) or not x or not y else 1 - sum(p * q for p, q in zip(a, b)) / x / y
+
+    df = spark.createDataFrame(v, "id long, vector array<double>")
+    got = {(x["id"], x["other"]): x["distance"] for x in retrieval.knn_join(df, df, 2).collect()}
+    assert len(got) == 84
+    for i, a in v:
+        near = sorted(distance(a, b) for j, b in v if j != i)[:2]
+        assert sorted(d for (x, _), d in got.items() if x == i) == pytest.approx(near)
+
+
+def test_stored_indexes(spark):
+    from graphloom.operators import indexes
+
+    g = graph(spark, [(0, "D", "the red fox", 3), (1, "D", "red the fox fox", 5), (2, "D", None, 9)], [], "body string, n int")
+    g = g.run("create index on D(body) type fulltext").graph.run("create index on D(n) type btree").graph
+    ids = lambda q: column(retrieval.search(g, "D_body", q).select("id"))
+    assert ids('"red fox"') == [0] and ids("red AND fox") == [0, 1] and ids("the -fox") == [] and ids("") == [] and ids("NOT red fox") == []
+    assert column(indexes.between(g, "D_n", 4).select("id")) == [1, 2] and column(indexes.lookup(g, "D_n", 3)) == [0]
+    later = g.run('add (d:D {body: "a red fox", n: 4})').graph
+    assert retrieval.search(later, "D_body", '"red fox"').count() == 2 and indexes.between(later, "D_n", 4, 5).count() == 2
+    assert not later.run("drop index D_n").graph.built.get("D_n")
