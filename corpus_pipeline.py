@@ -16,27 +16,31 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with words of a language; the model is fitted on a bounded sample of docs' own language labels."""
+    """Documents with words of a language; the model is fitted on a bounded sample of docs' own language labels. Null,
+    empty and blank texts go; repeated rows stay repeated; an empty table stays empty."""
     return accepted(docs, fitted(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, the least id."""
+    """One document of each text, the least id; all null texts count as one, repeated rows as well; a row without an id
+    stays only where no other has its text."""
     return exact_dedup(docs, DigestIndex(spark, fresh_path(spark, "index")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the least id."""
+    """One document of each group of near duplicates, the least id. Rows without an id, a text or words are near to
+    none and stay; repeated rows are one document and stay."""
     return without_near_duplicates(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in as many copies as their sources' smoothed targets ask for; no source gives tokens up."""
+    """Documents in as many copies as their sources' smoothed targets ask for; no source gives tokens up. A null source
+    is a source like another; null and blank texts stay once."""
     return mixed(docs, exponent=0.9, keep_all=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids."""
+    """Documents with their token ids; a null text has null, an empty one none."""
     return encode(docs)
 
 

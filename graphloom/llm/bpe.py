@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm.common import col, new_name, slices
 from graphloom.llm.vocabulary import PATTERN, SLICE, VOCABULARY, Batches, Vocabulary, cutter, flat_bytes, gathered, pair_key, pretokens, vocabulary
@@ -250,7 +251,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, text
 
 
 def decode(docs: DataFrame, path: str = VOCABULARY, tokens_col: str = "tokens") -> DataFrame:
-    """docs with the column decoded: the text of the tokens; null for null. Inverse of encode()."""
+    """docs with the column decoded: the text of the tokens; null for null, "" for none. Inverse of encode(). Rows are
+    independent: repeated rows repeat, an empty table gives none; extra columns pass through."""
     name = new_name(docs, "decoded")
     place = docs.columns.index(tokens_col)
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -271,3 +273,12 @@ def _with(df: DataFrame, name: str, kind: str) -> str:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return encode(docs).select(col("doc_id"), col("tokens"))
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text, encoded and decoded."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return decode(encode(docs)).select("doc_id", F.col("decoded").alias("text"))
+
+
+EXTRA = {"bpe_round_trip": (bpe_round_trip, "SELECT doc_id, text FROM documents")}

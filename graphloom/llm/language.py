@@ -188,8 +188,10 @@ def train(samples: dict, buckets: int = 1 << 16, sequences: int = 1500, epochs:
 
 
 def labelled(docs: DataFrame, most: int, most_words: int, text_col: str, lang_col: str) -> dict:
-    """At most ``most`` documents a language, those with the least hashes, of each at most ``most_words`` words from
-    its start: the bounded sample that the model is fitted on. Labelling itself reads whole texts."""
+    """At most ``most`` documents a language, those with the least hashes, of each at most ``most_words`` neighbouring
+    words from a place that the hash chooses in the whole text: the bounded sample that the model is fitted on. Labelling
+    itself reads whole texts. Repeated rows and copies of a text in one language count once; rows with a null language
+    or a null or blank text are left out; an empty table gives nothing."""
     h, lang = F.xxhash64(col(text_col)).alias("h"), col(lang_col).cast("string").alias("lang")
     some = docs.where(col(lang_col).isNotNull() & (F.trim(col(text_col)) != ""))
     ranked = some.select(lang, h).distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
@@ -199,8 +201,9 @@ def labelled(docs: DataFrame, most: int, most_words: int, text_col: str, lang_co
     inside = F.lit(False)
     for b in bounds:  # a term a language
         inside = inside | ((F.col("lang") == b["lang"]) & (F.col("h") <= b["bound"]))
-    words = F.slice(F.split(F.trim(col(text_col)), r"\s+", most_words + 1), 1, most_words)
-    rows = some.select(lang, h, col(text_col)).where(inside).select("lang", "h", words.alias("words")).dropDuplicates(["lang", "h"]).collect()
+    rows = some.select(lang, h, F.split(F.trim(col(text_col)), r"\s+").alias("all")).where(inside)
+    start = F.pmod("h", F.greatest(F.lit(1), F.size("all") - most_words + 1).cast("long")).cast("int") + 1
+    rows = rows.select("lang", "h", F.slice("all", start, F.lit(most_words)).alias("words")).dropDuplicates(["lang", "h"]).collect()
     out: dict = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
         out.setdefault(r["lang"], []).append(r["words"])
@@ -234,7 +237,8 @@ def label_texts(texts: pa.Array, model: Model, least: float = 0.2) -> tuple[pa.A
 
 
 def fitted(docs: DataFrame, most: int = 300, most_words: int = 400, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model fitted on a bounded sample: ``most`` documents a language, ``most_words`` words of each."""
+    """A model fitted on a bounded sample: ``most`` documents a language, ``most_words`` neighbouring words of each
+    (labelled()). Without any labelled text there is only the label for none, and nothing is accepted."""
     return train(labelled(docs, most, most_words, text_col, lang_col))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import col, new_name, stored
+from graphloom.llm.common import col, drop_stored, new_name, stored
 
 
 def tokens_of(text) -> F.Column:
@@ -101,6 +101,7 @@ def mix(docs: DataFrame, targets: dict | None = None, exponent: float = 0.9, kee
     else:
         goal = {"null" if k is None else f"={k}": v for k, v in targets.items()}
     tilt = balanced(units, goal, tolerance)
+    drop_stored(units)
     full = docs.withColumns({t: tokens_of(col(text_col)), s: source})
     spark = docs.sparkSession
     k, x = new_name(docs, "__k"), new_name(docs, "__x")
@@ -113,7 +114,8 @@ def mix(docs: DataFrame, targets: dict | None = None, exponent: float = 0.9, kee
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as mix() says, and the columns that docs has."""
+    """docs with each row as often as mix() says, and the columns that docs has. What mix() says of nulls, blank texts,
+    repeated rows and empty tables holds: rows without tokens stay once."""
     found = mix(docs, **options)
     return found.withColumn(found.columns[-1], F.explode(F.array_repeat(F.lit(1), col(found.columns[-1]).cast("int")))).select(*[col(c) for c in docs.columns])
 
@@ -122,3 +124,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's rate and copies under the smoothed targets at the corpus's present size."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs, exponent=0.7, keep_all=False).select("doc_id", "source", "rate", "copies")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's documents and tokens, and what part of its target the rates reach."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    full = mix(docs, exponent=0.7, keep_all=False).withColumn("t", tokens_of(F.col("text")))
+    sums = full.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("t").alias("tokens"), F.sum(F.col("rate") * F.col("t")).alias("got"))
+    whole = sums.agg(F.sum("tokens").alias("all"), F.sum(F.pow("tokens", F.lit(0.7))).alias("weights"))  # one row
+    target = F.col("all") * F.pow("tokens", F.lit(0.7)) / F.col("weights")
+    return sums.crossJoin(F.broadcast(whole)).select("source", "documents", F.col("tokens").cast("long").alias("tokens"), F.round(F.col("got") / target, 4).alias("reached"))
+
+
+EXTRA = {"mixing_targets": (mixing_targets, r"SELECT source, count(*) AS documents, CAST(sum(len([w FOR w IN string_split_regex(text, '\s+') IF w <> ''])) AS BIGINT) AS tokens, 1.0 :: DOUBLE AS reached FROM documents GROUP BY 1")}

@@ -11,11 +11,10 @@ from math import isqrt
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm.common import col
+from graphloom.llm.common import col, slices
 
 ROUNDS = 10
 LETTERS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-DEFAULT_KEY = b"example key; give your own"
 
 
 class Feistel:
@@ -250,20 +249,22 @@ def pseudonymous(text: str, f: Feistel, back: bool = False) -> tuple[str, list[s
     return "".join(out) + text[last:], kinds
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", back: bool = False) -> DataFrame:
     """(id, text, kinds): whole texts with pseudonyms for personal data, and the kinds of what was replaced.
 
     Replaced are cards that pass the Luhn check, IBANs that pass theirs, calendar dates, social-security and phone
     numbers, IP addresses, e-mail addresses' local parts and hexadecimal secrets of 32 digits or more. A value is
     permuted among the valid values of its format under the key, so equal values get equal pseudonyms in all
     documents, different ones different ones, and no value itself; ``back`` with the same key undoes it. Numbers that
-    fail their check stay. Rows are independent, ties and repeated rows included: one row comes out for each in, no
-    shuffle. A null text stays null, an empty one empty, both with no kinds. Other columns are dropped.
+    fail their check stay. Who has the key can undo the pseudonyms, so there is none by default. Rows are independent,
+    ties and repeated rows included: one row comes out for each in, no shuffle. A null text stays null, an empty one
+    empty, both with no kinds. Texts of any length are read whole, a few MB of them at a time. An empty table gives
+    none. Other columns are dropped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key)
-        for batch in batches:
+        for batch in slices(batches, "text", 4 << 20):
             texts, kinds = [], []
             for text in batch.column(1).to_pylist():
                 new, k = (None, []) if text is None else pseudonymous(text, f, back)
@@ -277,5 +278,6 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_i
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("graphloom.pii.key", None)
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), key.encode() if key else DEFAULT_KEY)
+    """The key is the setting graphloom.pii.key; the test tables' texts are invented, so theirs is no secret."""
+    key = spark.conf.get("graphloom.pii.key", "for invented texts only")
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), key.encode())

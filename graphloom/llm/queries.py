@@ -8,8 +8,10 @@ MODULES = [bpe, exact_dedup, fingerprints, language, mixing, near_dedup, pii, re
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
+    own = {name: f for m in MODULES for name, f in vars(m).items() if name.startswith("op") and name[2].isdigit()}
+    return own | {name: f for m in MODULES for name, (f, _) in getattr(m, "EXTRA", {}).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
+    own = {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
+    return own | {name: sql for m in MODULES for name, (_, sql) in getattr(m, "EXTRA", {}).items()}

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm.common import col, slices
 from graphloom.llm.vocabulary import PATTERN, SLICE, VOCABULARY, Batches, Vocabulary, flat_bytes, pair_key, pretokens, vocabulary
@@ -87,3 +88,12 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes as the counts have them, and whether its tokens lie between its pre-tokens and its bytes."""
+    n = op5_token_counts(spark, sf_dir)
+    return n.select("doc_id", "n_bytes", F.col("n_tokens").between(F.col("n_pretokens"), F.col("n_bytes")).alias("inside"))
+
+
+EXTRA = {"token_bytes": (token_bytes, "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, true AS inside FROM documents")}

@@ -2,7 +2,7 @@ from collections import Counter
 
 import corpus_pipeline
 from graphloom.llm.near_dedup import similarity, tokens
-from tests.llm.tables import SF, nothing
+from tests.llm.tables import SF, nothing, odd
 
 
 def test_stages_in_turn(spark, tmp_path):
@@ -33,3 +33,17 @@ def test_whole_run_and_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_odd_tables(spark):
+    """Nulls, blanks, repeated rows, a long text and clashing names through all stages, each on what the one before kept,
+    and each on the whole odd table."""
+    d = odd(spark)
+    kept = {"language": None, "exact": 7, "near": 8, "mixture": None, "tokens": 9}
+    docs = d
+    for name, stage in corpus_pipeline.STAGES:
+        alone = stage(spark, d, SF)
+        assert alone.columns[: len(d.columns)] == d.columns and kept[name] in (None, alone.count())
+        docs = stage(spark, docs, SF)
+        assert set(d.columns) <= set(docs.columns)
+        docs.count()

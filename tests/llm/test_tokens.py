@@ -88,3 +88,20 @@ def test_odd_tables(spark):
     counts = {r["doc_id"]: r["n_tokens"] for r in token_counts(d).collect()}
     assert counts[1] == counts[2] == 0 and counts[5] == len(rows[5])
     assert encode(nothing(spark)).count() == 0 and token_counts(nothing(spark)).count() == 0
+
+
+def test_queries_with_sql(spark):
+    """What SQL can say of the text operators' queries."""
+    import duckdb
+
+    from graphloom.llm import queries
+    from tests.llm.tables import SF
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, SF)
+        cur = con.execute(sql)
+        names = [d[0] for d in cur.description]
+        got = sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr)
+        assert sorted(names) == sorted(df.columns) and got == sorted(cur.fetchall(), key=repr), name
