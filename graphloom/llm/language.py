@@ -18,6 +18,8 @@ from graphloom.llm.toxicity import AROUND
 #: The label of words in none of the languages.
 NONE = "und"
 SIZES = (2, 3, 4)
+#: Bytes of text that are labelled at once.
+SLICE = 3 << 19
 
 
 def features(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,7 +257,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on the buckets and languages alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 3 << 20):
+        for batch in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([batch.column(0), *label_texts(batch.column(1), shared.value)], names=["id", "lang", "share", "accepted", "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -270,7 +272,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     flag = new_name(docs, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, flag, 3 << 20):
+        for batch in slices(batches, flag, SLICE):
             keep = label_texts(batch.column(place), shared.value)[2]
             yield batch.filter(keep)
 

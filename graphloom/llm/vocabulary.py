@@ -15,7 +15,7 @@ from graphloom.llm.common import mix
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are cut before merging: contractions, words, numbers, marks, white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SLICE = 2 << 20
+SLICE = 3 << 19
 
 
 class Table:
