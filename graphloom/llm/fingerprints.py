@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import hashed, mix, plain, slices, words_of
 from graphloom.llm.language import normal
+from graphloom.llm.links import links_by_keys
 from graphloom.llm.near_dedup import comparable, emitted, first_seen, linked_by_keys
 from graphloom.llm.vocabulary import gathered
 
@@ -165,5 +166,17 @@ def similar_by_fingerprint(docs: DataFrame, threshold: float = 0.8, rows: int =
     return linked_by_keys(docs, fingerprints(docs, rows, bands, bits, shortest, seed, id_col, text_col), threshold, id_col, text_col)
 
 
+def links_by_fingerprint(docs: DataFrame, threshold: float = 0.8, rows: int = 48, bands: int = 8, bits: int = 8, shortest: int = 24, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_id, class_id, links), a row a document: the least document of the same text, the least of its group,
+    and how many other documents are as similar as the threshold, copies included.
+
+    Groups are those of similar_by_fingerprint(). Within one every two texts are compared, whether or not they share a
+    part of the fingerprint, so no link between texts of a group is left out; they are counted without being
+    listed, as a group of n texts can have n squared. A document without words has none, and itself as its class. Rows
+    with a null id are left out; of an id with several texts one is taken. Other columns aren't read.
+    """
+    return links_by_keys(docs, fingerprints(docs, rows, bands, bits, shortest, seed, id_col, text_col), threshold, id_col, text_col)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_by_fingerprint(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return links_by_fingerprint(spark.read.parquet(f"{sf_dir}/documents.parquet"))
