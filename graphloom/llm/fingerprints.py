@@ -77,7 +77,7 @@ def embedded(offsets: np.ndarray, codes: np.ndarray, walk: Walk) -> np.ndarray:
         return keys
     own = np.floor(np.log(lengths) / np.log(GROWTH) + 1e-9).astype(np.int64)
     order = np.argsort(-own, kind="stable")
-    begin, ends, sorted_own = offsets[:-1][order], offsets[1:][order], own[order]
+    sorted_own = own[order]
     used = {}
     for c in np.unique(own).tolist():
         for band, row in enumerate(walk.places(c).tolist()):
@@ -87,11 +87,23 @@ def embedded(offsets: np.ndarray, codes: np.ndarray, walk: Walk) -> np.ndarray:
     live_at = {c: int(np.searchsorted(-sorted_own, -c, "right")) for c in np.unique(own).tolist()}
     low_at = {c: int(np.searchsorted(-sorted_own, -c, "left")) for c in live_at}
     last_step = {c: int(walk.places(c).max()) for c in live_at}
-    shift = np.append((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58), np.uint64(0)).astype(np.uint8)
-    marks = np.append(codes + np.uint32(1), np.uint32(0))
-    at = begin.copy()
+    # Characters as places in the alphabet, 0 being the end mark, which stands behind every segment.
+    present = np.zeros(int(codes.max()) + 1, bool)
+    present[codes] = True
+    alphabet = np.flatnonzero(present)
+    place = np.cumsum(present).astype(np.uint16 if len(alphabet) < 2**16 - 1 else np.uint32)
+    letters = np.zeros(len(codes) + n, place.dtype)
+    inside = np.ones(len(letters), bool)
+    inside[offsets[1:] - offsets[0] + np.arange(n)] = False
+    letters[inside] = place[codes]
+    shift = (alphabet.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+    ahead = max(1, (1 << 18) // len(alphabet))  # steps whose moves are made at once
+    marks = np.append(np.uint64(0), alphabet.astype(np.uint64) + np.uint64(1))
+    at = (offsets[:-1] - offsets[0] + np.arange(n))[order]
+    at = at.astype(np.int32 if len(letters) < 2**31 else np.int64)
     words = walk.up_to(max(last_step.values()) + 1)
     salt = mix(np.arange(walk.bits, dtype=np.uint64) + np.uint64(0xABCDEF))
+    mixed = [mix(marks + x) for x in salt]
     by_class = sorted(live_at)
     total = np.zeros((walk.bands, n), np.uint64)
     for j in range(max(last_step.values()) + 1):
@@ -99,12 +111,14 @@ def embedded(offsets: np.ndarray, codes: np.ndarray, walk: Walk) -> np.ndarray:
             by_class.pop(0)
         live = live_at[by_class[0]]
         p = at[:live]
-        here = np.where(p < ends[:live], p, len(codes))
+        here = letters[p]
         for c, band, i in used.get(j, ()):
             a, b = low_at[c], live_at[c]
-            total[band, a:b] += mix(marks[here[a:b]].astype(np.uint64) + salt[i])
-        moves = np.array([int(words[j]) >> k & 1 for k in range(64)], np.int64)
-        p += moves[shift[here]]
+            total[band, a:b] += mixed[i][here[a:b]]
+        if not j % ahead:
+            moves = np.zeros((ahead, len(marks)), at.dtype)
+            moves[: len(words) - j, 1:] = words[j : j + ahead, None] >> shift & np.uint64(1)
+        p += moves[j % ahead][here]
     base = mix((sorted_own.astype(np.uint64) << np.uint64(8)) + np.uint64(walk.seed))
     for band in range(walk.bands):
         keys[order, band] = mix(total[band] + base + np.uint64(band))

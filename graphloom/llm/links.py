@@ -50,20 +50,32 @@ def aligned_together(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray, voca
     ones, which = np.unique(a, return_inverse=True)
     la = np.array([len(codes[x]) for x in ones])
     wide = int(-(-la.max() // 64))
-    row, tables = np.zeros((len(ones), vocabulary), np.int32), [np.zeros((1, wide), np.uint64)]
+    # Row of the table of bits for a word of an a: looked up at once, or sought where that would take much memory.
+    dense = len(ones) * vocabulary <= 4 << 20
+    row = np.zeros((len(ones), vocabulary) if dense else (0, 0), np.int32)
+    sought, tables = [], [np.zeros((1, wide), np.uint64)]
     begin = 1
     for i, x in enumerate(ones):
         distinct, of = np.unique(codes[x], return_inverse=True)
         bits = np.zeros((len(distinct), wide), np.uint64)
         at = np.arange(len(of))
         np.bitwise_or.at(bits, (of, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-        row[i, distinct] = begin + np.arange(len(distinct))
+        if dense:
+            row[i, distinct] = begin + np.arange(len(distinct))
+        else:
+            sought.append(distinct.astype(np.int64) + i * vocabulary)
         tables.append(bits)
         begin += len(distinct)
     table = np.ascontiguousarray(np.concatenate(tables).T)
     columns = np.zeros((int(lb[0]), len(b)), np.int32)
+    known = None if dense else np.concatenate(sought)
     for i, x in enumerate(b):
-        columns[: lb[i], i] = row[which[i]][codes[x]]
+        if dense:
+            columns[: lb[i], i] = row[which[i]][codes[x]]
+        else:
+            word = codes[x] + which[i] * vocabulary
+            at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+            columns[: lb[i], i] = np.where(known[at] == word, at + 1, 0)
     full = np.uint64(2**64 - 1)
     pv, mv = np.full((wide, len(b)), full), np.zeros((wide, len(b)), np.uint64)
     last_word, last_bit = (la[which] - 1) >> 6, ((la[which] - 1) & 63).astype(np.uint64)
@@ -122,15 +134,9 @@ def distances(texts: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold:
         for i, x in zip(used.tolist(), np.split(coded, np.cumsum(size[used])[:-1])):
             codes[i] = x
         rest = rest[np.lexsort((a[rest], size[a[rest]] >> 6))]
-        most = max(1, (4 << 20) // len(distinct))
-        start = 0
-        while start < len(rest):
-            end = min(start + 4096, len(rest))
-            new = np.cumsum(np.append(True, np.diff(a[rest[start:end]]) != 0))
-            end = start + int(np.searchsorted(new, most, "right"))
-            part = rest[start:end]
+        for start in range(0, len(rest), 4096):
+            part = rest[start : start + 4096]
             out[part] = aligned_together(codes, a[part], b[part], len(distinct))
-            start = end
     return out
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from graphloom.llm.fingerprints import fingerprints, links_by_fingerprint
-from graphloom.llm.links import LONGEST, aligned_together, distances, links_by_keys
+from graphloom.llm.links import LONGEST, aligned_together, candidates, distances, links_by_keys, tokens_of
 from graphloom.llm.near_dedup import similarity, tokens
 from tests.llm.tables import docs, nothing, odd
 from tests.llm.test_duplicates import full_distance, grouped
@@ -64,3 +64,12 @@ def test_links_in_odd_tables(spark):
     rows = links_by_fingerprint(odd(spark)).collect()
     assert sorted((x["doc_id"], x["text_id"], x["class_id"], x["links"]) for x in rows) == [(1, 1, 1, 0), (2, 2, 2, 0), (3, 3, 3, 0), (4, 4, 4, 1), (5, 5, 5, 0), (6, 4, 4, 1), (7, 7, 7, 0)]
     assert links_by_fingerprint(nothing(spark)).count() == 0
+
+
+def test_pairs_of_a_bucket_grow_with_its_members(spark):
+    """All share a bucket: unrelated texts give no pairs to align, near copies one each."""
+    texts = [" ".join(f"d{i}w{j}" for j in range(60)) for i in range(150)] + [" ".join(["x"] * 60 + [f"e{i}"]) for i in range(150)]
+    d = spark.createDataFrame([(i, bytes([i % 256]), x) for i, x in enumerate(texts)], "id long, digest binary, text string")
+    members = spark.createDataFrame([(7, i) for i in range(300)], "key long, id long")
+    pairs = [(x["doc_a"], x["doc_b"]) for x in candidates(members, tokens_of(d), None, 0.8, False).collect()]
+    assert sorted(pairs) == [(150, i) for i in range(151, 300)]
