@@ -77,7 +77,8 @@ def at_clause_q(spark, sf_dir):
 
     ms = int(datetime.datetime(2024, 1, 15, tzinfo=datetime.timezone.utc).timestamp())
     g = moods(spark, sf_dir)
-    seconds = {"User": g.history.nodes["User"].withColumns({c: F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {c})") for c in ("valid_from", "valid_to")})}
+    # With their fractions: what changes within the second that begins at the asked one holds only after it.
+    seconds = {"User": g.history.nodes["User"].withColumns({c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {c}) / 1e6D") for c in ("valid_from", "valid_to")})}
     g = g.but(history=versions.History(seconds, {}))
     return g.query(f"find u.mood as mood, count(*) as n, avg(u.value) as mean from (u:User) group by u.mood at timestamp {ms}").withColumn("mean", F.round("mean", 6))
 
