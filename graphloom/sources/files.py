@@ -278,8 +278,12 @@ def import_turtle(spark: SparkSession, text: str, into: Graph | None = None) ->
     by_label: dict[str, list[dict]] = {}
     for c in classes:
         by_label.setdefault(short(c), []).append({"id": c.strip("<>"), "kind": "Class", "iri": c.strip("<>"), "name": short(c)})
+    literals: dict[str, dict] = {}
+    for s, p, o in found:
+        if s in individuals and not (isinstance(o, str) and o.startswith("<")):
+            literals.setdefault(s, {})[short(p)] = o
     for s, k in individuals.items():
-        props = {short(p): o for a, p, o in found if a == s and not (isinstance(o, str) and o.startswith("<"))}
+        props = literals.get(s, {})
         by_label.setdefault(short(k), []).append({"id": s.strip("<>"), "kind": "Individual", "iri": s.strip("<>"), **props})
     from graphloom.model import together
 

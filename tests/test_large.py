@@ -15,3 +15,23 @@ def test_at_timestamp_tells_fractions_of_a_second(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").withColumn("props", F.lit("{}")).write.parquet(f"{tmp_path}/events.parquet")
     got = queries()["at_timestamp_clause"](spark, str(tmp_path)).collect()
     assert {x["mood"]: (x["n"], x["mean"]) for x in got} == {"click": (1, 2.0), "view": (1, 5.0)}
+
+
+def test_turtle_is_read_in_a_fixed_number_of_passes(spark, monkeypatch):
+    from graphloom.sources import files
+
+    class Counted(list):
+        passes = 0
+
+        def __iter__(self):
+            Counted.passes += 1
+            return super().__iter__()
+
+    text = "@prefix e: <http://e.org/#> . @prefix owl: <http://www.w3.org/2002/07/owl#> .\ne:C a owl:Class .\n"
+    text += "\n".join(f"e:s{i} a e:C ; e:key {i} ; e:next e:s{i + 1} ." for i in range(40)) + "\ne:s40 a e:C ."
+    read = files.triples
+    monkeypatch.setattr(files, "triples", lambda t: Counted(read(t)))
+    g, report = files.import_turtle(spark, text)
+    assert report["individuals"] == 41 and Counted.passes < 10
+    assert {x["name"]: x["key"] for x in g.node_table().where("kind = 'Individual'").selectExpr("substring_index(id, '#', -1) as name", "key").collect()} == {f"s{i}": i if i < 40 else None for i in range(41)}
+    assert g.edge_table("next").count() == 40
