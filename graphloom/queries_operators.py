@@ -128,20 +128,7 @@ def exported(form: str) -> Callable:
             return spark.read.schema(schema).json(path)
         if form == "parquet":
             return spark.read.parquet(path)
-
-        def read(batches):
-            import pyarrow as pa
-            from pyarrow import fs
-
-            for b in batches:
-                for name in b.column(0).to_pylist():
-                    place, inside = fs.FileSystem.from_uri(name)
-                    with place.open_input_stream(inside) as f:
-                        yield from pa.ipc.open_stream(f)
-
-        # Files are listed by Spark, each is read by a task.
-        names = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrows").load(path).select("path")
-        return names.mapInArrow(read, schema)
+        return files.read_arrow(spark, path, schema)
 
     return run
 
@@ -153,18 +140,25 @@ def saved_q(spark, sf_dir):
     return files.load(spark, path).query("find n.name as nation, count(*) as n, min(c.acctbal) as low from (c:Customer)-[:LIVES_IN]->(n:Nation) group by n.name")
 
 
+def through_arrow(df: DataFrame) -> DataFrame:
+    """df written as Arrow streams and read again, by tasks on either side."""
+    path = folder(df.sparkSession, "arrow")
+    files.write_arrow(df, path)
+    return files.read_arrow(df.sparkSession, path, df.schema)
+
+
 def arrow_nodes_q(spark, sf_dir):
-    return spark.createDataFrame(files.nodes_arrow(star(spark, sf_dir, {"Supplier"}), "Supplier")).select(key().alias("k"), "label", "name", "acctbal")
+    return through_arrow(files.nodes_table(star(spark, sf_dir, {"Supplier"}), "Supplier")).select(key().alias("k"), "label", "name", "acctbal")
 
 
 def arrow_edges_q(spark, sf_dir):
-    return spark.createDataFrame(files.edges_arrow(star(spark, sf_dir, {"Nation", "Region", "IN_REGION"}))).select(key("source").alias("n"), key("target").alias("r"), "edge_type")
+    return through_arrow(files.edges_table(star(spark, sf_dir, {"Nation", "Region", "IN_REGION"}))).select(key("source").alias("n"), key("target").alias("r"), "edge_type")
 
 
 def arrow_history_q(spark, sf_dir):
     from graphloom.queries import moods
 
-    h = spark.createDataFrame(files.history_arrow(moods(spark, sf_dir), "User"))
+    h = through_arrow(files.history_table(moods(spark, sf_dir), "User"))
     return h.groupBy("is_current").agg(F.count(F.lit(1)).alias("n"), F.max("version").alias("version"))
 
 

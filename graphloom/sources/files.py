@@ -90,6 +90,22 @@ def write_arrow(df: DataFrame, path: str) -> None:
     df.mapInArrow(save, "rows long").agg(F.sum("rows")).first()
 
 
+def read_arrow(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What write_arrow() wrote: Spark lists the files, each is read by a task, a batch at a time."""
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                place, inside = fs.FileSystem.from_uri(name)
+                with place.open_input_stream(inside) as f:
+                    yield from pa.ipc.open_stream(f)
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.arrows").load(path).select("path").mapInArrow(read, schema)
+
+
 def csv_text(df: DataFrame, separator: str = ",", header: bool = True) -> str:
     """A small result as CSV text: quoted where needed, null as nothing."""
     def cell(x) -> str:
@@ -110,29 +126,42 @@ def json_text(df: DataFrame, pretty: bool = False, jsonl: bool = False) -> str:
 # --- tables ----------------------------------------------------------------------------------------------------------
 
 
-def nodes_arrow(g: Graph, label: str | None = None, properties: bool = True):
-    """An Arrow table: id, label and the properties, or their number."""
+def nodes_table(g: Graph, label: str | None = None, properties: bool = True) -> DataFrame:
+    """What nodes_arrow() holds: id, label and the properties, or their number."""
     df = g.node_table(label).drop("kind")
     props = [c for c in df.columns if c not in ("id", "label")]
     if not properties:
         count = sum((named(p).isNotNull().cast("int") for p in props), F.lit(0))
-        return df.select("id", "label", count.alias("property_count")).toArrow()
+        return df.select("id", "label", count.alias("property_count"))
     plain = [p for p in props if not isinstance(df.schema[p].dataType, (*NESTED, T.BinaryType, T.NullType))]
-    return df.select("id", "label", *[named(p) for p in sorted(plain)]).toArrow()
+    return df.select("id", "label", *[named(p) for p in sorted(plain)])
 
 
-def edges_arrow(g: Graph, kind: str | None = None, properties: bool = True):
+def edges_table(g: Graph, kind: str | None = None, properties: bool = True) -> DataFrame:
     df = g.edge_table(kind)
     props = sorted(c for c in df.columns if c not in ("id", "source", "target", "type"))
     first = ["id", "source", "target", F.col("type").alias("edge_type")]
     if not properties:
-        return df.select(*first, sum((named(p).isNotNull().cast("int") for p in props), F.lit(0)).alias("property_count")).toArrow()
-    return df.select(*first, *[named(p).cast("string").alias(p) for p in props]).toArrow()
+        return df.select(*first, sum((named(p).isNotNull().cast("int") for p in props), F.lit(0)).alias("property_count"))
+    return df.select(*first, *[named(p).cast("string").alias(p) for p in props])
 
 
-def history_arrow(g: Graph, label: str):
+def history_table(g: Graph, label: str) -> DataFrame:
     h = g.history.nodes[label]
-    return h.select("id", F.lit(label).alias("label"), "version", F.col("valid_from").alias("timestamp"), "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current")).toArrow()
+    return h.select("id", F.lit(label).alias("label"), "version", F.col("valid_from").alias("timestamp"), "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))
+
+
+def nodes_arrow(g: Graph, label: str | None = None, properties: bool = True):
+    """An Arrow table on the driver; what doesn't fit it goes through write_arrow() and read_arrow()."""
+    return nodes_table(g, label, properties).toArrow()
+
+
+def edges_arrow(g: Graph, kind: str | None = None, properties: bool = True):
+    return edges_table(g, kind, properties).toArrow()
+
+
+def history_arrow(g: Graph, label: str):
+    return history_table(g, label).toArrow()
 
 
 def save(g: Graph, folder: str) -> None:

@@ -35,3 +35,14 @@ def test_turtle_is_read_in_a_fixed_number_of_passes(spark, monkeypatch):
     assert report["individuals"] == 41 and Counted.passes < 10
     assert {x["name"]: x["key"] for x in g.node_table().where("kind = 'Individual'").selectExpr("substring_index(id, '#', -1) as name", "key").collect()} == {f"s{i}": i if i < 40 else None for i in range(41)}
     assert g.edge_table("next").count() == 40
+
+
+def test_arrow_queries_gather_nothing(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def gathered(self):
+        raise AssertionError("a table was gathered on the driver")
+
+    monkeypatch.setattr(DataFrame, "toArrow", gathered)
+    got = {name: queries()[name](spark, SF).count() for name in ("arrow_nodes", "arrow_edges", "arrow_history")}
+    assert got == {"arrow_nodes": spark.read.parquet(f"{SF}/supplier.parquet").count(), "arrow_edges": 25, "arrow_history": 2}
