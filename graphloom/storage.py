@@ -39,3 +39,18 @@ def forget(df: DataFrame | None) -> None:
         spark = df.sparkSession
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Rows that a partition of a graph's edges holds, more or less.
+ROWS = 2_000_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows, at least as many as spark.sql.shuffle.partitions says."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
+def kept_by(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df persisted in n partitions by key, sorted by it. Rounds that join or group by the key then neither move nor sort
+    it again: the number is given, as adaptive execution would otherwise choose another one."""
+    return df.repartition(n, key).sortWithinPartitions(key).persist()
