@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph, named
-from graphloom.storage import forget, written
+from graphloom.operators.community import edge_rows
+from graphloom.storage import forget, kept_by, parts_for, written
 
 
 def hops(g: Graph, direction: str, kind: str | None = None, props: list[str] = ()) -> DataFrame:
@@ -213,27 +214,33 @@ class Search:
 def bfs(g: Graph, start, direction: str = "out", kind: str | None = None, allowed: Column | None = None, max_depth: int | None = None, max_nodes: int | None = 10_000) -> Search:
     """Level by level. Nodes that ``allowed`` refuses are neither listed nor passed. At the level that passes max_nodes
     it ends, those with the least ids filling it up, and it isn't completed."""
-    e = hops(g, direction, kind).select("a", "b").distinct()
+    rows = edge_rows(g, kind) * (2 if direction == "both" else 1)
+    e = kept_by(hops(g, direction, kind).select("a", "b"), "a", parts_for(g.spark, rows))
     nodes = g.node_table()
     ok = (nodes.where(allowed) if allowed is not None else nodes).select("id")
-    seen = written(nodes.where(F.col("id") == F.lit(start)).select("id", F.lit(0).alias("distance")))
-    depth, total = 0, seen.count()
+    levels = [written(nodes.where(F.col("id") == F.lit(start)).select("id", F.lit(0).alias("distance")))]
+    depth, total, completed = 0, levels[0].count(), True
     while max_depth is None or depth < max_depth:
         depth += 1
-        fringe = seen.where(F.col("distance") == depth - 1)
-        new = e.join(fringe, F.col("a") == F.col("id")).select(F.col("b").alias("id")).distinct().join(ok, "id", "left_semi").join(seen, "id", "left_anti")
+        seen = levels[0]
+        for x in levels[1:] if direction != "both" else levels[-2:]:  # both ways, a node of an earlier level has none here
+            seen = seen.union(x)
+        fringe = levels[-1]
+        new = e.join(fringe, e.a == fringe.id).select(F.col("b").alias("id")).distinct().join(ok, "id", "left_semi").join(seen, "id", "left_anti")
         new = written(new.withColumn("distance", F.lit(depth)))
         n = new.count()
         if not n:
-            return Search(seen, True, depth)
-        if max_nodes is not None and total + n > max_nodes:
-            return Search(seen.unionByName(new.orderBy("id").limit(max(0, max_nodes - total))), False, depth)
+            break
+        completed = max_nodes is None or total + n <= max_nodes
+        levels.append(new if completed else new.orderBy("id").limit(max(0, max_nodes - total)))
+        if not completed:
+            break
         total += n
-        after = written(seen.unionByName(new))
-        forget(seen)
-        forget(new)
-        seen = after
-    return Search(seen, True, depth)
+    e.unpersist()
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.union(x)
+    return Search(out, completed, depth)
 
 
 def dfs(g: Graph, start, direction: str = "out", max_nodes: int = 10_000) -> list:
