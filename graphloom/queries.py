@@ -166,7 +166,7 @@ def bfs_q(spark, sf_dir):
 
 
 def shortest_paths_q(spark, sf_dir):
-    return keyed(algorithms.distances(trade(spark, sf_dir), 16 + 3, "qty", "both"), "distance")
+    return keyed(algorithms.distances(trade(spark, sf_dir), 16 + 3, "qty", "both", parents=False), "distance")
 
 
 def algorithm_filter_q(spark, sf_dir):

@@ -77,12 +77,13 @@ def transitions(spark: SparkSession, folder: str) -> Graph:
 
 def trade(spark: SparkSession, folder: str) -> Graph:
     """Orders, parts and suppliers, each two linked by the lines that name both: a graph that grows with the lines and
-    has triangles. ``qty`` is a line's quantity between order and part, 1 and 2 on the others."""
+    has triangles. ``qty`` is a line's quantity between order and part, 1 and 2 on the others. Lines that name the same two
+    are parallel edges, as in its SQL: none of the algorithms that run on it tells them apart."""
     g = star(spark, folder, {"Order", "Part", "Supplier"})
     lines = spark.read.parquet(f"{folder}/lineitem.parquet")
     one = edges_of(lines, "Order", "l_orderkey", "Part", "l_partkey", F.col("l_quantity").alias("qty"))
-    two = edges_of(lines.select("l_suppkey", "l_partkey").distinct(), "Supplier", "l_suppkey", "Part", "l_partkey", F.lit(1.0).alias("qty"))
-    three = edges_of(lines.select("l_suppkey", "l_orderkey").distinct(), "Supplier", "l_suppkey", "Order", "l_orderkey", F.lit(2.0).alias("qty"))
+    two = edges_of(lines, "Supplier", "l_suppkey", "Part", "l_partkey", F.lit(1.0).alias("qty"))
+    three = edges_of(lines, "Supplier", "l_suppkey", "Order", "l_orderkey", F.lit(2.0).alias("qty"))
     return g.but(edges={"CONTAINS": one, "SUPPLIES": two, "SHIPS": three})
 
 
