@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from graphloom.functions.expressions import failing
 from graphloom.model import Graph, named
 from graphloom.plans.syntax import PatternError
+from graphloom.storage import written
 
 # --- vectors as columns ----------------------------------------------------------------------------------------------
 
@@ -136,59 +137,85 @@ def similarity_to(g: Graph, node, model: str) -> DataFrame:
 BLOCK = 4096
 
 
-def blocks(df: DataFrame, names: list[str]) -> tuple[DataFrame, int]:
-    """(id, vector, block), named so, of (id, vector), and how many blocks there are: a block is a hash of the id."""
-    n = max(1, -(-df.count() // BLOCK))
-    return df.select("id", F.col("vector").cast("array<double>"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).toDF(*names), n
+def by_size(vectors) -> dict:
+    """{size: (places, vectors of length one as a matrix)} of an Arrow array of vectors; one without a length stays 0."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    out = {}
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        w = vectors.take(at).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), int(size))
+        length = np.linalg.norm(w, axis=1, keepdims=True)
+        out[size] = (at, w / np.where(length > 0, length, 1.0))
+    return out
+
+
+def blocks_of(names: list[str]):
+    """(ids in their order, by_size() of their vectors) of the Parquet files' rows, BLOCK at a time."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for name in names:
+        place, inside = fs.FileSystem.from_uri(name)
+        with place.open_input_file(inside) as f:
+            for batch in pq.ParquetFile(f).iter_batches(BLOCK, columns=["id", "vector"]):
+                batch = batch.take(pc.sort_indices(pa.table({"id": batch.column(0)}), sort_keys=[("id", "ascending")]))
+                ids = batch.column(0)
+                yield np.array(ids.to_pylist(), dtype=object if pa.types.is_string(ids.type) else np.int64), by_size(batch.column(1))
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(id, other, distance): the k nearest others of each left row, by cosine distance, ties to the lesser id. Exact:
-    every two blocks of vectors meet in one task, which multiplies them as matrices and keeps each row's best k; only
-    those are merged. A vector without a length, or of another size, has distance 1."""
+    every two blocks of vectors are multiplied as matrices. A vector without a length, or of another size, has distance 1.
+
+    All pairs are compared, but only the left side is moved, once: the right side is written to the shared folder, and
+    each task reads it a block at a time and keeps the best k of each of its own rows.
+    """
     import numpy as np
-    import pandas as pd
-
-    ids = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
-    a, m = blocks(left, ["from", "vector", "%l"])
-    b, n = blocks(right, ["to", "vector", "%r"])
-    a = a.withColumn("%r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    b = b.withColumn("%l", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(x) and len(y):
-            y = y.sort_values("to", kind="stable")
-            by_size: dict = {}
-            for i, v in enumerate(y["vector"]):
-                by_size.setdefault(len(v), []).append(i)
-            other = y["to"].to_numpy()
-            columns = {}
-            for size, at in by_size.items():
-                w = np.stack([np.asarray(y["vector"].iat[i], float) for i in at])
-                length = np.linalg.norm(w, axis=1, keepdims=True)
-                columns[size] = (np.array(at), w / np.where(length > 0, length, 1.0))
-            rows = list(zip(x["from"].tolist(), x["vector"]))
-            for start in range(0, len(rows), 512):
-                some = rows[start : start + 512]
-                distance = np.ones((len(some), len(other)))
-                for size, (at, w) in columns.items():
-                    mine = [i for i, (_, v) in enumerate(some) if len(v) == size]
-                    if mine:
-                        u = np.stack([np.asarray(some[i][1], float) for i in mine])
-                        length = np.linalg.norm(u, axis=1, keepdims=True)
-                        distance[np.ix_(mine, at)] = 1.0 - (u / np.where(length > 0, length, 1.0)) @ w.T
-                for i, (own, _) in enumerate(some):
-                    d = np.where(other == own, np.inf, distance[i])
-                    edge = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
-                    near = np.flatnonzero(d <= edge) if np.isfinite(edge) else np.flatnonzero(np.isfinite(d))
-                    near = near[np.argsort(d[near], kind="stable")][:k]  # by id where distances are equal
-                    out += [(own, other[j], float(d[j])) for j in near]
-        return pd.DataFrame(out, columns=["id", "other", "distance"])
-
-    met = a.groupBy("%l", "%r").cogroup(b.groupBy("%l", "%r")).applyInPandas(nearest, f"id {ids[0]}, other {ids[1]}, distance double")
+    import pyarrow as pa
+
+    kind, other_kind = left.schema["id"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
+    stored = written(right.select("id", "vector"))
+    names = stored.inputFiles()
+
+    def nearest(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(start, BLOCK)
+                own, mine = batch.column(0).to_pylist(), by_size(batch.column(1))
+                best: list[list] = [[] for _ in own]
+                worst = np.full(len(own), np.inf)
+                for ids, columns in blocks_of(names):
+                    same = np.searchsorted(ids, np.array(own, ids.dtype), "left"), np.searchsorted(ids, np.array(own, ids.dtype), "right")
+                    for size, (rows, u) in mine.items():
+                        for x in range(0, len(rows), 512):
+                            some = rows[x : x + 512]
+                            distance = np.ones((len(some), len(ids)))
+                            if size in columns:
+                                at, w = columns[size]
+                                distance[:, at] = 1.0 - u[x : x + 512] @ w.T
+                            for i in np.flatnonzero(same[0][some] < same[1][some]):
+                                distance[i, same[0][some[i]] : same[1][some[i]]] = np.inf
+                            low = distance.min(axis=1)
+                            for i in np.flatnonzero((low <= worst[some]) & np.isfinite(low)):  # few, once k are near
+                                row, d = some[i], distance[i]
+                                edge = min(worst[row], np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf)
+                                near = np.flatnonzero((d <= edge) & np.isfinite(d))
+                                near = near[np.argsort(d[near], kind="stable")][:k]  # by id where distances are equal
+                                best[row] = sorted([*best[row], *zip(d[near].tolist(), ids[near].tolist())])[:k]
+                                worst[row] = best[row][-1][0] if len(best[row]) == k else np.inf
+                flat = [(a, b, d) for a, found in zip(own, best) for d, b in found]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], batch.schema.field(0).type), pa.array([r[1] for r in flat], pa.string() if other_kind == "string" else pa.int64()), pa.array([r[2] for r in flat], pa.float64())], names=["id", "other", "distance"])
+
+    n = max(1, -(-left.count() // BLOCK))
+    met = left.select("id", "vector").repartition(n, "id").mapInArrow(nearest, f"id {kind}, other {'string' if other_kind == 'string' else 'bigint'}, distance double")
     place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
-    return met.withColumn("place", place).where(F.col("place") <= k).select("id", "other", "distance")
+    return met.withColumn("place", place).where(F.col("place") <= k).select("id", F.col("other").cast(other_kind).alias("other"), "distance")
 
 
 def knn_lists(g: Graph, wanted: DataFrame, k: int, model: str) -> DataFrame:
