@@ -14,6 +14,8 @@ from graphloom.storage import written
 
 #: Files of postings by their term's hash, so that a search opens those of its terms.
 BUCKETS = 64
+#: Words that a task groups at a time.
+WORDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,34 @@ def bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def postings(batches):
+    """(term, id, tf, length, places) of batches (id, words): a document's words are all here, so its terms are grouped
+    without moving a word. Ids name one document each."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for whole in batches:
+        sizes = pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // WORDS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), whole.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            batch, size = whole.slice(a, b - a), sizes[a:b]
+            words = batch.column(1).flatten().dictionary_encode()
+            if not len(words):
+                continue
+            code = words.indices.to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+            key = owner * len(words.dictionary) + code
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+            at = order[first]
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+            tf = np.diff(np.append(first, len(code)))
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[at])), batch.column(0).take(pa.array(owner[at])), pa.array(tf), pa.array(size[owner[at]].astype(np.int32)), places], names=["term", "id", "tf", "length", "places"])
+
+
 def build(g: Graph, label: str, prop: str, kind: str):
     """What CREATE INDEX stores in the shared folder. Values: (value, id) sorted by range, so that the scan's statistics
     leave out files and row groups. Full text: postings by the hash of their term."""
@@ -39,10 +69,10 @@ def build(g: Graph, label: str, prop: str, kind: str):
     if kind != "fulltext":
         return written(df.where(named(prop).isNotNull()).select(named(prop).alias("value"), "id").orderBy("value"))
     words = df.where(named(prop).isNotNull()).select("id", terms(named(prop).cast("string")).alias("w"))
-    each = words.select("id", F.size("w").alias("length"), F.posexplode("w").alias("place", "term"))
-    lists = each.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"), F.sort_array(F.collect_list("place")).alias("places"))
+    lists = words.mapInArrow(postings, f"term string, id {df.schema['id'].dataType.simpleString()}, tf long, length int, places array<int>")
     stats = written(words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")))
-    found = lists.withColumn("bucket", bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term")
+    # A bucket's terms are in several tasks, so that a task's share stays small; the number is given, as others would merge.
+    found = lists.withColumn("bucket", bucket("term")).repartition(4 * BUCKETS, F.xxhash64("term")).sortWithinPartitions("bucket", "term")
     return FullText(written(found, "bucket"), stats)
 
 
