@@ -90,6 +90,27 @@ def test_odd_tables(spark):
     assert encode(nothing(spark)).count() == 0 and token_counts(nothing(spark)).count() == 0
 
 
+def test_long_texts_are_decoded_a_slice_at_a_time(spark, monkeypatch):
+    """Neither a batch's tokens nor two workers' vocabularies are held at once."""
+    import graphloom.llm.bpe as bpe
+
+    held = []
+    one = bpe.decoded_texts
+    v = bpe.vocabulary()
+    texts = ["lorem ipsum dolor " * 30_000, None, "", "ünïcödé 🙂"] * 8
+    lists = bpe.token_lists(pa.array(texts), v)
+    batch = pa.RecordBatch.from_arrays([lists], names=["c0"])
+    for part in bpe.slices(iter([batch]), "c0", bpe.SLICE):
+        held.append(len(part.column(0).flatten()))
+        assert one(part.column(0), v).to_pylist() == texts[: part.num_rows]
+        texts = texts[part.num_rows :]
+    assert len(held) > 1 and not texts
+    d = odd(spark)
+    rows = bpe.round_trip(d)
+    assert rows.columns[:-1] == d.columns and [r[-1] for r in rows.collect()] == [r["text"] for r in d.collect()]
+    assert "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString().replace("MapInArrow", "", 1)
+
+
 def test_queries_with_sql(spark):
     """What SQL can say of the text operators' queries."""
     import duckdb
